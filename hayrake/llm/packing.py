@@ -18,6 +18,7 @@ longer than the capacity are cut; columns besides id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hayrake.llm.texts import groups_of_rows, text_bytes
 from hayrake.session import materialise, prepare
 
 CAPACITY = 2048
@@ -34,6 +36,8 @@ CAPACITY = 2048
 SALTS = 64
 #: Words whose ids each worker remembers, in two generations.
 REMEMBERED = 400_000
+#: Words looked up together; less than REMEMBERED.
+STEP = 200_000
 
 _tokenizers: dict[str, WordIds] = {}
 
@@ -43,63 +47,80 @@ class WordIds:
 
     The vocabulary's pre-tokenizer drops white space and never joins across
     it, so the ids of a text are those of its blank-separated words in turn.
+    Those of a letter and one full stop or comma at the end are the ids of
+    what stands before and of the mark.
     """
 
     def __init__(self, path: str) -> None:
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self._ids(["\x00"])[0]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.loose = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|$)")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        self.marks = {m: self._ids([m.decode()])[0] for m in (b".", b",")}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.young) + len(words) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        plain = [w for w in words if "\x00" not in w and "<|" not in w]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.frombuffer(self._ids([" \x00 ".join(part)])[0], dtype="<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.mark, dtype="<u4")[0])
-            if len(cuts) == len(part) - 1:
-                self.young.update(zip(part, (x[bool(k) :].tobytes() for k, x in enumerate(np.split(ids, cuts)))))
+    def _encode(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        rest = []
+        for at in range(0, len(plain), 4000):  # each of these is one unit of the pre-tokenizer, so it has one last token
+            part = plain[at : at + 4000]
+            raw = self._ids([" ".join([texts[k] for k in part])])[0]
+            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1)).tolist()
+            if len(cuts) == len(part):
+                self.young.update((words[k], raw[a:z]) for k, a, z in zip(part, [0, *cuts], cuts))
+            else:
+                rest += part
+        rest += sorted(set(range(len(texts))).difference(plain))
+        if rest:
+            self.young.update(zip([words[k] for k in rest], self._ids([texts[k] for k in rest])))
+
+    def _learn(self, words: set[bytes]) -> None:
+        marks = self.marks
+        split = [w for w in words if w[-1:] in marks and w[-2:-1].isalpha()]
+        stems = {w[:-1] for w in split}.union(words.difference(split)).difference(self.young)
+        new = []
+        for w in stems:
+            ids = self.old.get(w)
+            if ids is None:
+                new.append(w)
             else:
-                self.young.update(zip(part, self._ids(part)))
-        odd = [w for w in words if "\x00" in w or "<|" in w]
-        if odd:
-            self.young.update(zip(odd, self._ids(odd)))
-
-    def __call__(self, text: str) -> bytes:
-        if "<|" not in text:  # else a change of case or place could make or break a special token
-            text = self.loose.sub(r" \1", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
-        words = text.replace("\n", " ").split(" ")
-        out = []
-        for at in range(0, len(words), 100_000):
-            part = words[at : at + 100_000]
-            new = []
-            for w in set(part):
-                if w not in self.young:
-                    ids = self.old.get(w)
-                    if ids is None:
-                        new.append(w)
-                    else:
-                        self.young[w] = ids
+                self.young[w] = ids
+        if new:
+            self._encode(new)
+        for w in split:
+            self.young[w] = self.young[w[:-1]] + marks[w[-1:]]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Give it some ten thousand bytes at once: the words of more do not stay in the cache."""
+        words: list[bytes] = []
+        ends = []
+        for text in texts:
+            if b"<|" not in text:  # else a change of case could make a special token
+                text = text.lower()  # A-Z only, which is what the normaliser does to them
+            words += text.replace(b"\n", b" ").split(b" ")
+            ends.append(len(words))
+        ids: list[bytes] = []
+        for at in range(0, len(words), STEP):
+            part = words[at : at + STEP] if len(words) > STEP else words
+            own = set(part)
+            if len(self.young) + len(own) > REMEMBERED:
+                self.old, self.young = self.young, {}
+            new = own.difference(self.young)
             if new:
-                kept = {w: self.young[w] for w in set(part) if w in self.young}
                 self._learn(new)
-                if len(self.young) < len(kept) + len(new):
-                    self.young.update(kept)
-            out.append(b"".join(map(self.young.__getitem__, part)))
-        return b"".join(out)
+            ids += map(self.young.__getitem__, part)
+        return [b"".join(ids[a:z]) for a, z in zip([0, *ends], ends)]
 
 
 def word_ids(path: str) -> WordIds:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     if path not in _tokenizers:
         _tokenizers[path] = WordIds(path)
     return _tokenizers[path]
@@ -116,8 +137,10 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         for batch in batches:
             rows, cols = [], ([], [], [], [])
             lists = []
-            for k, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + tail
+            data, offsets = text_bytes(batch.column(1))
+            every = (ids for lo, hi in groups_of_rows(offsets, 1 << 16) for ids in encode([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(lo, hi)]))
+            for k, ids in enumerate(every):
+                ids += tail
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append(k)
