@@ -24,7 +24,7 @@ LANGUAGES = {
 }
 
 _NAME = r"(?P<name>[A-Za-z_$][\w$]*)"
-_C_FUNCTION = r"(?:^|(?<=[;{}\n:]))[ \t]*(?!(?:if|for|while|switch|return|else|do|case|new|delete|throw|struct|class|enum|union|namespace|typedef)\b)(?P<at>(?:[A-Za-z_][\w:<>,~]*[ \t*&\n]+)*?)(?P<name>~?[A-Za-z_]\w*)[ \t]*\([^;{}()]*(?:\([^;{}()]*\)[^;{}()]*)*\)[ \t\n]*(?:const|noexcept|override|final|[ \t\n])*(?::[^;{}]*)?(?=\{)"
+_C_FUNCTION = r"(?:^|(?<=[;{}\n:]))[ \t]*(?:template\s*<[^<>]*>\s*)?(?!(?:if|for|while|switch|return|else|do|case|new|delete|throw|struct|class|enum|union|namespace|typedef|public|private|protected)\b)(?P<at>(?:[A-Za-z_][\w:<>,~]*[ \t*&\n]+)*?)(?P<name>~?[A-Za-z_]\w*)[ \t]*\([^;{}()]*(?:\([^;{}()]*\)[^;{}()]*)*\)[ \t\n]*(?:const|noexcept|override|final|[ \t\n])*(?::[^;{}]*)?(?=\{)"
 PATTERNS: dict[str, list[tuple[str, str]]] = {
     "rust": [
         ("function", rf"(?P<at>(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*fn)\s+{_NAME}"),
@@ -37,7 +37,7 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
     "typescript": [
         ("function", rf"(?P<at>(?:async\s+)?function\b)\s*\*?\s*{_NAME}"),
         ("class", rf"(?P<at>(?:abstract\s+)?class)\s+{_NAME}"),
-        ("method", rf"(?:^|(?<=[;{{}}\n]))[ \t]*(?P<at>(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*)(?!(?:if|for|while|switch|catch|return|function|new)\b)\*?\s*{_NAME}\s*(?:<[^>(){{}}]*>)?\([^{{}};]*\)\s*(?::[^{{}};=]+)?(?=\{{)"),
+        ("method", rf"(?:^|(?<=[;{{}}\n]))[ \t]*(?P<at>(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*)\*?\s*(?!(?:if|for|while|switch|catch|return|function|new|with|do|else)\b){_NAME}\s*(?:<[^>(){{}}]*>)?\([^{{}};]*\)\s*(?::[^{{}};=]+)?(?=\{{)"),
     ],
     "go": [
         ("function", rf"^(?P<at>func)\s+{_NAME}"),
@@ -263,7 +263,9 @@ def chunk_file(path: str, source: str, language: str | None = None) -> list[Chun
     line_of = lambda at: bisect_right(starts, at)
     out = []
     for s, name in zip(symbols, qualified(symbols)):
-        top, doc = attached_doc(lines, line_of(s.start) - 1)
+        first = line_of(s.start) - 1
+        alone = not source[starts[first] : s.start].strip()  # else something else begins the line
+        top, doc = attached_doc(lines, first) if alone else (first, None)
         raw = source[s.start : s.end]
         body = without_members(source, s, symbols)
         signature = next((x.strip() for x in raw.split("\n") if x.strip()), "")
