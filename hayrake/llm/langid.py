@@ -31,9 +31,9 @@ from hayrake.session import prepare
 #: At most about so many labelled documents are used for fitting (a hash of the id chooses them).
 MAX_TRAIN_DOCS = 6000
 #: Words of the model, the most frequent ones, each seen at least twice; n-grams are those of these and other sampled words.
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
-LONGEST = 5
+MAX_WORDS = 40_000
+MAX_GRAMS = 40_000
+LONGEST = 4
 #: Words of evidence that count in full towards the score; of more, the mean evidence of so many.
 EVIDENCE = 40
 #: Different written forms that a worker remembers.
@@ -83,17 +83,15 @@ class Model:
         known = self.words.get(word)
         if known is not None:
             return known
-        padded, out, n, at = f" {word} ", np.zeros(len(self.languages)), 0, 0
-        while at < len(padded):
-            size = min(LONGEST, len(padded) - at)
-            while size and padded[at : at + size] not in self.grams:
+        padded, found, at, grams = f" {word} ", [], 0, self.grams
+        last = len(padded) - 1
+        while at < last:
+            size = min(LONGEST, last + 1 - at)
+            while size > 1 and padded[at : at + size] not in grams:
                 size -= 1
-            out += self.grams[padded[at : at + size]] if size else self.floor
-            n += 1
-            at += max(1, size - 1) if size > 1 else 1
-            if at >= len(padded) - 1 and size:
-                break
-        return out / n * 1.5
+            found.append(grams.get(padded[at : at + size], self.floor))
+            at += max(1, size - 1)
+        return sum(found[1:], found[0]) * (1.5 / len(found))
 
     def form(self, form: str) -> np.ndarray:
         """Evidence and number of words of a written form (what stands between blanks)."""
@@ -117,7 +115,7 @@ class Predictor:
             part = forms[at : at + 100_000]
             if len(self.rows) > REMEMBERED:
                 self.rows = {}
-            for f in set(part) - self.rows.keys():
+            for f in set(part).difference(self.rows):
                 k = self.rows[f] = len(self.rows)
                 if k >= len(self.table):
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
