@@ -18,7 +18,7 @@ from hayrake.operators import lexical, search
 from hayrake.operators.chunks import chunk_files
 from hayrake.operators.fusion import Fusion, assemble, fuse
 from hayrake.operators.lookup import symbol_lookup
-from hayrake.operators.store import Store
+from hayrake.operators.store import Store, change_work
 from hayrake.session import prepare
 from hayrake.sources import files as file_source
 from hayrake.sources import git
@@ -129,8 +129,6 @@ class Engine:
                 gone = before.join(good, "file", "left_anti").select(F.lit(0).cast("bigint").alias("seq"), F.lit("D").alias("op"), F.col("file").alias("path"), F.lit(None).cast("string").alias("from_path"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("text"))
                 feed = feed.unionByName(gone)
             else:
-                from hayrake.operators.store import change_work
-
                 work = change_work(loose, git.diff(self.spark, path, base))
                 olds = work.filter("from_path is not null").select(F.lit("D").alias("op"), F.col("from_path").alias("path"), F.lit(None).cast("string").alias("from_path"))
                 work = work.select("op", "path", "from_path").unionByName(olds.join(work.select("path"), "path", "left_anti"))

@@ -152,6 +152,10 @@ def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
+def forget() -> None:
+    _automata.clear()
+
+
 def automaton(items: list[tuple[str, str]], window: int) -> Automaton:
     key = (window, hash(tuple(items)))
     if key not in _automata:
@@ -223,6 +227,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], k=k, shared=shared) -> Iterator[pa.RecordBatch]:
+            T.begin("decontam", forget)
             auto = automaton(shared.value, window)
             for batch in batches:
                 cols: tuple[list, ...] = ([], [], [], [])

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hayrake.llm.texts import begin
 from hayrake.session import prepare
 
 #: At most about so many labelled documents are used for fitting (a hash of the id chooses them).
@@ -37,7 +38,7 @@ LONGEST = 4
 #: Words of evidence that count in full towards the score; of more, the mean evidence of so many.
 EVIDENCE = 40
 #: Different written forms that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
 
@@ -157,6 +158,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast((model.languages, model.words, model.grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         predictor = Predictor(Model(*shared.value))
         for batch in batches:
             found = [predictor(t.as_py()) for t in batch.column(at)]

@@ -54,6 +54,7 @@ def spread(docs: DataFrame, site_col: str, min_bytes: int = MIN_BYTES) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.begin("linededup")
         for batch in batches:
             rows, _, line = _lines(batch.column(1), min_bytes)
             rows = rows[np.lexsort((rows, line))] if len(rows) else rows
@@ -107,6 +108,7 @@ def remove_boilerplate(docs: DataFrame, site_col: str, min_sites: int = MIN_SITE
         docs = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash")), "left").drop("_id", "_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.begin("linededup")
         for batch in batches:
             column = batch.column(at)
             rows, number, line = _lines(column, min_bytes)

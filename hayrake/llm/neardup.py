@@ -138,6 +138,7 @@ def _digests(docs: DataFrame, size: int, seed: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, node, check (two digests of the set; null without one) and keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.begin("neardup")
         for batch in batches:
             n, node, check, sketches = [], [], [], []
             for items in shingle_sets(batch.column(2), size, seed):

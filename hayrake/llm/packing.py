@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hayrake.llm.texts import groups_of_rows, text_bytes
+from hayrake.llm.texts import begin, groups_of_rows, text_bytes
 from hayrake.session import materialise, prepare
 
 CAPACITY = 2048
@@ -119,6 +119,10 @@ class WordIds:
         return [b"".join(ids[a:z]) for a, z in zip([0, *ends], ends)]
 
 
+def forget() -> None:
+    _tokenizers.clear()
+
+
 def word_ids(path: str) -> WordIds:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     if path not in _tokenizers:
@@ -133,6 +137,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     tail = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing", forget)
         encode = word_ids(tokenizer)
         for batch in batches:
             rows, cols = [], ([], [], [], [])

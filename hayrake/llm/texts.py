@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; word boundaries are respected, so results do not depend on it.
-PIECE = 2 << 20
+PIECE = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _powers = np.ones(1, dtype=U64)
@@ -26,6 +26,18 @@ NOT_NEWLINE = np.ones(256, dtype=bool)
 NOT_NEWLINE[10] = False
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str, clear: Callable[[], None] | None = None) -> None:
+    """To be called at the start of a task: a worker, which may serve several operators, keeps the caches of one only."""
+    for name in [n for n in _caches if n != operator]:
+        _caches.pop(name)()
+    if clear is not None:
+        _caches[operator] = clear
+    pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column (null: empty) and the n + 1 offsets of its values."""
     if isinstance(column, pa.ChunkedArray):

@@ -18,7 +18,7 @@ from __future__ import annotations
 import string
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hayrake.session import drop, materialise, prepare
@@ -112,7 +112,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_
 
 def judge(pages: DataFrame, rules: list[Rule], max_distrust: float = MAX_DISTRUST, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of each page."""
-    spark: SparkSession = prepare(pages.sparkSession)
+    prepare(pages.sparkSession)
     every = materialise(parsed(pages), "pages")
     hosts = every.filter("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
     own = _bounded(materialise(host_rules(hosts, rules), "rules"))
@@ -129,6 +129,5 @@ def judge(pages: DataFrame, rules: list[Rule], max_distrust: float = MAX_DISTRUS
     scores = _bounded(materialise(scores, "scores"))
     doubt = F.col("distrust") / F.when(F.col("trust") + F.col("distrust") > 0, F.col("trust") + F.col("distrust"))
     by_host = F.when(doubt > max_distrust, F.lit("block")).otherwise(F.lit(default))
-    del spark
     out = ruled.join(scores, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -10,9 +10,9 @@ from hayrake.functions.text import length_bucket
 RANKS = (1, 3, 10)
 
 
-def nearest_rank(p: float, value: Column) -> Column:
-    """Nearest-rank percentile of a group: an element of it, 0 if there is none."""
-    return F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value._jc.toString() if isinstance(value, Column) else value})").cast("double"), F.lit(0.0))
+def nearest_rank(p: float, column: str) -> Column:
+    """Nearest-rank percentile of a column within a group: an element of it, 0 if there is none."""
+    return F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{column}`)").cast("double"), F.lit(0.0))
 
 
 def first_hits(results: DataFrame, expected: DataFrame) -> DataFrame:

@@ -209,8 +209,7 @@ class Store:
         if wrong:
             raise DimensionMismatch(f"a vector has not {self.manifest.dims} dimensions")
         old, old_vectors = self.chunks, self.vectors
-        start = (old.agg(F.max("row_id")).first()[0] if not old.isEmpty() else -1) or 0
-        start = start + 1 if not old.isEmpty() else 0
+        start = old.agg(F.coalesce(F.max("row_id"), F.lit(-1))).first()[0] + 1
         placed = materialise(dedup_insert(old.filter("live"), batch, start), "placed")
         new = placed.filter("outcome = 'inserted'").withColumn("live", F.lit(True))
         for c in (c.split() for c in CHUNK.split(", ")):
