@@ -98,8 +98,9 @@ class Model:
         """Evidence and number of words of a written form (what stands between blanks)."""
         out = np.zeros(len(self.languages) + 1)
         for w in WORD.findall(form.lower()):
-            out[:-1] += self.word(w)
-            out[-1] += 1
+            if w.isalpha() or any(map(str.isalpha, w)):  # else superscripts and the like only
+                out[:-1] += self.word(w)
+                out[-1] += 1
         return out
 
 
