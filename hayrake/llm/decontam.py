@@ -14,7 +14,7 @@ give empty or clean results; columns besides ids and texts are ignored by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -205,28 +205,32 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """Item names and texts, in blocks of bounded size, one in the driver at a time."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """Item names and texts, in blocks of bounded size, one in the driver at a time; whether it is the last."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n = max(1, -(-size // BLOCK_BYTES))
     for k in range(n):
         own = items if n == 1 else items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        yield sorted((r.name or "", r.text) for r in own.collect())
+        yield sorted((r.name or "", r.text) for r in own.collect()), k == n - 1
 
 
 _HITS = "_words bigint, _hits array<bigint>, _items array<string>, _longest bigint"
 _HITS_ARROW = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()]
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """docs with _words, _hits (starts and ends of hit word ranges in turn), _items and _longest."""
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """docs with _words, _hits (starts and ends of hit word ranges in turn), _items and _longest.
+
+    finish turns batches of these into batches of docs, in the task that makes them.
+    """
     spark = prepare(docs.sparkSession)
-    at, schema = docs.columns.index("text"), None
-    for k, block in enumerate(_blocks(benchmark)):
+    at = docs.columns.index("text")
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for k, (block, last) in enumerate(_blocks(benchmark)):
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], k=k, shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], k=k, shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             T.begin("decontam", forget)
             auto = automaton(shared.value, window)
             for batch in batches:
@@ -243,11 +247,10 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
                         c.append(v)
                 base = batch.columns[: len(batch.columns) - (4 if k else 0)]
                 names = batch.schema.names[: len(base)]
-                yield pa.RecordBatch.from_arrays([*base, *(pa.array(c, t) for c, t in zip(cols, _HITS_ARROW))], [*names, "_words", "_hits", "_items", "_longest"])
+                out = pa.RecordBatch.from_arrays([*base, *(pa.array(c, t) for c, t in zip(cols, _HITS_ARROW))], [*names, "_words", "_hits", "_items", "_longest"])
+                yield finish(out) if last and finish else out
 
-        if k == 0:
-            schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), _HITS])
-        docs = (materialise(docs, "marked") if k else docs).mapInArrow(run, schema)
+        docs = (materialise(docs, "marked") if k else docs).mapInArrow(run, plain if last and finish else f"{plain}, {_HITS}")
     return docs
 
 
@@ -270,32 +273,28 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     """
     names = docs.columns
     at = names.index("text")
-    schema = docs.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = batch.column(len(names) + 1).to_pylist()
-            rows = [k for k, h in enumerate(hits) if h]
-            if rows:
-                texts = batch.column(at).to_pylist()
-                data, offsets = T.text_bytes(pa.array([texts[k] for k in rows], pa.large_string()))
-                s, e, r, _ = T.words(data, offsets, T.ALNUM)
-                bounds = T.row_bounds(r, len(rows))
-                for j, k in enumerate(rows):
-                    own, base = data[offsets[j] : offsets[j + 1]], bounds[j]
-                    keep, last = [], 0
-                    for first, end in zip(hits[k][::2], hits[k][1::2]):
-                        a = int(s[base + first] - offsets[j])
-                        z = int(s[base + end] - offsets[j]) if base + end < bounds[j + 1] else len(own)
-                        keep.append(own[last:a].tobytes())
-                        last = z
-                    texts[k] = (b"".join(keep) + own[last:].tobytes()).decode("utf-8", "replace")
-                cols = [pa.array(texts, batch.schema.field(at).type) if c == at else batch.column(c) for c in range(len(names))]
-            else:
-                cols = batch.columns[: len(names)]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    marked = _marked(docs, benchmark.select("item_id", "text"), window)
-    hit = F.aggregate(F.transform("_hits", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    marked = marked.filter(~((hit > F.col("_words") * F.lit(max_coverage)) | (F.col("_longest") > max_length)))
-    return marked.mapInArrow(cut, schema)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        totals, hits, longest = (batch.column(len(names) + c).to_pylist() for c in (0, 1, 3))
+        covered = [sum(h[1::2]) - sum(h[::2]) for h in hits]
+        keep = [c <= max_coverage * n and m <= max_length for c, n, m in zip(covered, totals, longest)]
+        rows = [k for k, h in enumerate(hits) if h and keep[k]]
+        cols = batch.columns[: len(names)]
+        if rows:
+            texts = batch.column(at).to_pylist()
+            data, offsets = T.text_bytes(pa.array([texts[k] for k in rows], pa.large_string()))
+            s, e, r, _ = T.words(data, offsets, T.ALNUM)
+            bounds = T.row_bounds(r, len(rows))
+            for j, k in enumerate(rows):
+                own, base = data[offsets[j] : offsets[j + 1]], bounds[j]
+                left, last = [], 0
+                for first, end in zip(hits[k][::2], hits[k][1::2]):
+                    a = int(s[base + first] - offsets[j])
+                    z = int(s[base + end] - offsets[j]) if base + end < bounds[j + 1] else len(own)
+                    left.append(own[last:a].tobytes())
+                    last = z
+                texts[k] = (b"".join(left) + own[last:].tobytes()).decode("utf-8", "replace")
+            cols[at] = pa.array(texts, batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
+
+    return _marked(docs, benchmark.select("item_id", "text"), window, cut)

@@ -35,9 +35,9 @@ CAPACITY = 2048
 #: Classes of equal length are dealt over so many tasks.
 SALTS = 64
 #: Words whose ids each worker remembers, in two generations.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words looked up together; less than REMEMBERED.
-STEP = 200_000
+STEP = 100_000
 
 _tokenizers: dict[str, WordIds] = {}
 
