@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from hayrake.session import drop, materialise, prepare
 
 DAMPING = 0.85
-MAX_STEPS = 30
+#: Largest relative change of any host's score in the last step.
 TOLERANCE = 1e-3
 #: Share of distrust in a host's trust and distrust above which it is blocked.
 MAX_DISTRUST = 0.5
@@ -82,10 +82,13 @@ def host_rules(hosts: DataFrame, rules: list[Rule]) -> DataFrame:
     return fits.groupBy("host").agg(F.array_sort(F.collect_list(key)).alias("rules"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: seeds (host, seed) and edges (src, dst, weight) to host, score.
 
-    Rank at hosts without links returns to the seeds in proportion.
+    Rank at hosts without links returns to the seeds in proportion. Steps go
+    on until no host is newly reached and none changes by more than tolerance
+    of its own score, however small that is beside the seeds. A host's change
+    is a mean of those of its sources, so the largest never grows again.
     """
     edges = materialise(edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "edges")
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0
@@ -94,19 +97,18 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_
     ends = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).union(seeds.select("host")).distinct()
     sources = edges.select(F.col("src").alias("host")).distinct().withColumn("has_links", F.lit(True))
     base = materialise(ends.join(seeds, "host", "left").join(sources, "host", "left").select("host", F.coalesce("seed", F.lit(0.0)).cast("double").alias("seed"), F.coalesce("has_links", F.lit(False)).alias("has_links")), "hosts")
-    now = base.withColumn("score", F.col("seed"))
-    for _ in range(max_steps):
-        lost = now.agg(F.sum(F.when(~F.col("has_links"), F.col("score")))).first()[0] or 0.0
+    now, spent = base.withColumn("score", F.col("seed")), base
+    at_ends = F.sum(F.when(~F.col("has_links"), F.col("score")))
+    lost, change = now.agg(at_ends).first()[0] or 0.0, 1.0
+    while change > tolerance:
         moved = now.join(edges, now.host == edges.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         score = F.col("seed") * ((1 - damping) + damping * lost / total) + damping * F.coalesce("got", F.lit(0.0))
         after = materialise(now.withColumnRenamed("score", "old").join(moved, "host", "left").select("host", "seed", "has_links", "old", score.alias("score")), "rank")
-        change = after.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
-        if now is not base and "old" in now.columns:
-            drop(now)
-        now = after
-        if change <= tolerance * total:
-            break
-        now = now.select("host", "seed", "has_links", "score")
+        most = F.greatest("score", "old")
+        lost, change = after.agg(at_ends, F.max(F.when(most > 0, F.abs(F.col("score") - F.col("old")) / most))).first()
+        lost, change = lost or 0.0, change or 0.0
+        drop(spent)
+        now, spent = after.drop("old"), after
     return now.select("host", "score")
 
 

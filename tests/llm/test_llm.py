@@ -100,6 +100,20 @@ def test_trust_and_distrust_flow_along_and_against_links(spark):
         assert got[h].trust == pytest.approx(v, abs=1e-2)
 
 
+def test_distrust_of_small_seeds_is_not_cut_short_by_a_hot_host(spark):
+    chain = [f"c{k}.net" for k in range(40)]
+    seeds = spark.createDataFrame([("hot.com", 1e6), ("b.com", 1.0)], "host string, seed double")
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in itertools.pairwise(["b.com", *chain])], "src string, dst string, weight double")
+    got = {r.host: r.score for r in urlfilter.propagate(seeds, edges).collect()}
+    for k, h in enumerate(chain, 1):
+        assert got[h] == pytest.approx(got["b.com"] * 0.85**k, rel=1e-2)
+    link = lambda h: f'<a href="http://{h}/">l</a>'
+    rows = spark.range(1500).selectExpr("id AS page_id", "concat('http://hot.com/de/', id) AS url", "'' AS html")
+    few = [(-1, "http://b.com/de/1", None), (-2, "http://c.net/", link("b.com")), (-3, "http://d.net/", link("c.net")), (-4, "http://e.net/", link("d.net"))]
+    pages = rows.union(spark.createDataFrame(few, "page_id bigint, url string, html string"))
+    assert {r.host for r in urlfilter.judge(pages, queries.RULES).filter("page_id < 0 AND verdict = 'block'").collect()} == {"b.com", "c.net", "d.net", "e.net"}
+
+
 def test_url_query(spark):
     got = {r.page_id: r for r in queries.op1_url_filters(spark, SF).collect()}
     for r in rows_of(spark, "pages"):
