@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +36,8 @@ DISCLOSURE = 0.9
 SUPPORT = 3
 #: Candidate terms that are looked for by broadcast; more are counted by a shuffle join.
 BROADCAST_ROWS = 500_000
+#: Texts with copies that are broadcast as hash and number; more are joined by a shuffle.
+BROADCAST_COPIES = 2_000_000
 
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -133,34 +134,42 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, {_FOUND}")
 
 
-def _term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and texts (how many documents have it) of the given terms, over all documents."""
+def _term_counts(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
+    """term and texts (how many different texts have it) of the given terms, over all documents.
+
+    copied has text_hash and copies of the texts that several rows have; each of these rows counts as its share of the text.
+    """
     few = terms.count() <= BROADCAST_ROWS
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in batches:
-            counts: Counter[str] = Counter()
-            for value in batch.column(0):
+            counts: dict[str, float] = {}
+            for value, copies in zip(batch.column(0), batch.column(1).to_pylist()):
                 own = set(WORD.findall((value.as_py() or "").lower()))
-                counts.update(own if wanted is None else own & wanted)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+                for term in own if wanted is None else own & wanted:
+                    counts[term] = counts.get(term, 0.0) + 1 / copies
+            yield pa.RecordBatch.from_pydict({"term": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.float64())})
 
     if few and not shared.value:
         return terms.withColumn("texts", F.lit(0).cast("bigint"))
-    return docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("texts")).join(terms, "term", "left_semi")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_COPIES else copied
+    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(copied, "text_hash", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counted = rows.mapInArrow(run, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("bigint").alias("texts"))
+    return counted.join(terms, "term", "left_semi")
 
 
 def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """entity, term and disclosed (share of the entity's information) of the terms that reveal an entity."""
-    n = max(2, docs.select("doc_id").count())
+    copied = materialise(found.groupBy("text_hash").agg(F.count("*").alias("copies")).filter("copies > 1"), "copied")
+    n = max(2, found.count() - (copied.agg(F.sum(F.col("copies") - 1)).first()[0] or 0))
     near = found.filter(F.size("near") > 0).select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.term").distinct()
     entities = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
     pairs = materialise(pairs.join(entities, "entity"), "pairs")
     terms = materialise(pairs.select("term").distinct(), "terms")
-    counted = pairs.join(_term_counts(docs, terms), "term")
+    counted = pairs.join(_term_counts(docs, terms, copied), "term")
     given = F.least(F.lit(1.0), F.col("n_both") / F.greatest("texts", "n_both"))
     prior = F.col("n_entity") / F.lit(float(n))
     share = F.when(prior >= 1.0, F.lit(0.0)).otherwise((F.log(given) - F.log(prior)) / -F.log(prior))

@@ -381,6 +381,17 @@ def test_terms_that_reveal_an_entity(spark):
     assert pii.find(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_of_one_text_are_one_witness(spark):
+    rows = [(k, f"Zanzibar{'!' * k} writes from jo@x.com, letter {k}") for k in range(3)]
+    rows += [(10 + k, f"about many other matters, part {k}") for k in range(60)]
+    shares = []
+    for copies in (0, 300):
+        table_ = docs(spark, rows + [(1000 + k, rows[0][1]) for k in range(copies)])
+        shown = pii.disclosing(pii._found(table_), table_, disclosure=0.0)
+        shares.append({r.term: r.disclosed for r in shown.distinct().collect()})
+    assert shares[0]["zanzibar"] > pii.DISCLOSURE and shares[0] == pytest.approx(shares[1])
+
+
 # 8 decontamination
 
 def words(text):
