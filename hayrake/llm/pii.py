@@ -4,9 +4,10 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers. The
 information-theoretic part treats each value found as a protected entity. The
 corpus gives the probability of an entity, p(e), and of it given a term near
 it, p(e | t). A term discloses log(p(e | t) / p(e)) of the entity's own
-information -log p(e). Where that share reaches the threshold and the pair
-occurs in enough different texts, the term's places near the entity are spans
-of kind `term`.
+information -log p(e). What is seen in few texts is moved towards p(e) by
+PRIOR_TEXTS texts, so a single text can disclose, but by less. Where the share
+reaches the threshold, all places of the term in all texts that hold the
+entity are spans of kind `term`, except where they touch other spans.
 
 Counting is by different texts, so that copies of one text are one witness.
 Defined results: null and empty texts have no spans; repeated rows have the
@@ -18,26 +19,28 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hayrake.session import materialise, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on each side of an entity that may reveal it, and the shortest of them.
+#: Words on each side of an entity that may reveal it.
 NEAR_WORDS = 6
-LEAST_LETTERS = 4
-#: Share of an entity's information at which a term is disclosing, and different texts that must show it.
+#: Share of an entity's information at which a term is disclosing, and the weight in texts of p(e) in the estimate of p(e | t).
 DISCLOSURE = 0.9
-SUPPORT = 3
-#: Candidate terms that are looked for by broadcast; more are counted by a shuffle join.
-BROADCAST_ROWS = 500_000
+PRIOR_TEXTS = 1.0
 #: Texts with copies that are broadcast as hash and number; more are joined by a shuffle.
 BROADCAST_COPIES = 2_000_000
+#: Texts whose disclosing terms are broadcast.
+BROADCAST_TEXTS = 200_000
+#: Terms that a task counts before it hands the counts on.
+HELD_TERMS = 200_000
 
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -93,107 +96,142 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def context(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str, int, int]]:
-    """Entity (hash), lower-case term, start and end of the words near each span."""
-    taken = sorted((a, z) for _, a, z in spans)
-    out = []
-    for kind, a, z in spans:
-        value = text[a:z].lower() if kind == "email" else text[a:z] if kind == "ip" else re.sub("[^0-9]", "", text[a:z])
-        entity = _hash(kind, value)
-        lo = max(0, a - 40 * NEAR_WORDS)
-        words = [*list(WORD.finditer(text, lo, a))[-NEAR_WORDS:], *list(WORD.finditer(text, z, z + 40 * NEAR_WORDS))[:NEAR_WORDS]]
-        for m in words:
-            if m.start() == lo and lo and text[lo - 1].isalpha() or len(m[0]) < LEAST_LETTERS:
-                continue
-            if not any(x < m.end() and m.start() < y for x, y in taken):
-                out.append((entity, m[0].lower(), m.start(), m.end()))
+def entities_of(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """The protected entity (hash) of each span."""
+    value = lambda kind, said: said.lower() if kind == "email" else said if kind == "ip" else re.sub("[^0-9]", "", said)
+    return [_hash(kind, value(kind, text[a:z])) for kind, a, z in spans]
+
+
+def free_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Lower-case word, start and end of the words outside all spans."""
+    out, k, taken = [], 0, []
+    for a, z in sorted((a, z) for _, a, z in spans):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(z, taken[-1][1])
+        else:
+            taken.append([a, z])
+    for m in WORD.finditer(text):
+        a, z = m.span()
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or z <= taken[k][0]:
+            out.append((m[0].lower(), a, z))
     return out
 
 
-_FOUND = "text_hash bigint, spans array<struct<kind: string, start: bigint, end: bigint>>, near array<struct<entity: bigint, term: string, start: bigint, end: bigint>>"
-_FOUND_ARROW = [
-    pa.int64(),
-    pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])),
-    pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])),
-]
+def context(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[int, str]]:
+    """Entity (hash) and lower-case term of the words near each span."""
+    words = free_words(text, spans)
+    starts = [a for _, a, _ in words]
+    out = set()
+    for entity, (_, a, z) in zip(entities_of(text, spans), spans):
+        before, after = bisect_left(starts, a), bisect_left(starts, z)
+        out.update((entity, t) for t, _, _ in [*words[max(0, before - NEAR_WORDS) : before], *words[after : after + NEAR_WORDS]])
+    return out
+
+
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string())]))
+_FOUND = "text_hash bigint, spans array<struct<kind: string, start: bigint, end: bigint>>, entities array<bigint>, near array<struct<entity: bigint, term: string>>, text string"
 
 
 def _found(docs: DataFrame) -> DataFrame:
+    """Base spans, their entities and the terms near them of each document, and the text of those that hold an entity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
+            spans, entities, near, texts = [], [], [], []
             for value in batch.column(2):
                 text = value.as_py() or ""
                 own = base_spans(text)
                 spans.append([{"kind": k, "start": a, "end": z} for k, a, z in own])
-                near.append([{"entity": e, "term": t, "start": a, "end": z} for e, t, a, z in context(text, own)] if own else [])
-            cols = [batch.column(1), pa.array(spans, _FOUND_ARROW[1]), pa.array(near, _FOUND_ARROW[2])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "text_hash", "spans", "near"])
+                entities.append(list(dict.fromkeys(entities_of(text, own))))
+                near.append([{"entity": e, "term": t} for e, t in context(text, own)] if own else [])
+                texts.append(text if own else None)
+            cols = [batch.column(1), pa.array(spans, _SPANS), pa.array(entities, pa.list_(pa.int64())), pa.array(near, _NEAR), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "text_hash", "spans", "entities", "near", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, {_FOUND}")
 
 
-def _term_counts(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
-    """term and texts (how many different texts have it) of the given terms, over all documents.
+def _term_counts(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """term and texts (how many different texts have it) of all words of all documents.
 
     copied has text_hash and copies of the texts that several rows have; each of these rows counts as its share of the text.
     """
-    few = terms.count() <= BROADCAST_ROWS
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()) if few else None)
+
+    def said(counts: dict[str, float]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"term": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.float64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
+        counts: dict[str, float] = {}
         for batch in batches:
-            counts: dict[str, float] = {}
             for value, copies in zip(batch.column(0), batch.column(1).to_pylist()):
-                own = set(WORD.findall((value.as_py() or "").lower()))
-                for term in own if wanted is None else own & wanted:
+                for term in set(WORD.findall((value.as_py() or "").lower())):
                     counts[term] = counts.get(term, 0.0) + 1 / copies
-            yield pa.RecordBatch.from_pydict({"term": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.float64())})
+            if len(counts) > HELD_TERMS:
+                yield said(counts)
+                counts = {}
+        yield said(counts)
 
-    if few and not shared.value:
-        return terms.withColumn("texts", F.lit(0).cast("bigint"))
     copied = F.broadcast(copied) if copied.count() <= BROADCAST_COPIES else copied
     rows = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(copied, "text_hash", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
-    counted = rows.mapInArrow(run, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("bigint").alias("texts"))
-    return counted.join(terms, "term", "left_semi")
+    return rows.mapInArrow(run, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("bigint").alias("texts"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, prior_texts: float = PRIOR_TEXTS) -> DataFrame:
     """entity, term and disclosed (share of the entity's information) of the terms that reveal an entity."""
     copied = materialise(found.groupBy("text_hash").agg(F.count("*").alias("copies")).filter("copies > 1"), "copied")
     n = max(2, found.count() - (copied.agg(F.sum(F.col("copies") - 1)).first()[0] or 0))
-    near = found.filter(F.size("near") > 0).select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.term").distinct()
-    entities = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    pairs = materialise(pairs.join(entities, "entity"), "pairs")
-    terms = materialise(pairs.select("term").distinct(), "terms")
-    counted = pairs.join(_term_counts(docs, terms, copied), "term")
-    given = F.least(F.lit(1.0), F.col("n_both") / F.greatest("texts", "n_both"))
+    holding = found.filter(F.size("entities") > 0)
+    entities = holding.select(F.explode("entities").alias("entity"), "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near = materialise(holding.select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.term").distinct(), "near")
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(entities, "entity")
+    least = near.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("least"))
     prior = F.col("n_entity") / F.lit(float(n))
-    share = F.when(prior >= 1.0, F.lit(0.0)).otherwise((F.log(given) - F.log(prior)) / -F.log(prior))
-    return counted.select("entity", "term", share.alias("disclosed")).filter(F.col("disclosed") >= disclosure)
 
+    def share(texts: str) -> Column:
+        given = (F.col("n_both") + prior_texts * prior) / (F.greatest(texts, "n_both") + prior_texts)
+        return F.when(prior >= 1.0, F.lit(0.0)).otherwise((F.log(given) - F.log(prior)) / -F.log(prior))
+
+    # A term is in as many texts at least as it is near any entity: pairs that fail even so need no count.
+    pairs = materialise(pairs.join(least, "term").filter(share("least") >= disclosure).drop("least"), "pairs")
+    counted = pairs.join(_term_counts(docs, copied), "term")
+    return counted.select("entity", "term", share("texts").alias("disclosed")).filter(F.col("disclosed") >= disclosure)
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+
+def find(docs: DataFrame, disclosure: float = DISCLOSURE, prior_texts: float = PRIOR_TEXTS) -> DataFrame:
     """doc_id, text_hash and spans (array of kind, start, end) of every document: base spans and disclosing terms."""
     prepare(docs.sparkSession)
     found = materialise(_found(docs), "spans")
-    shown = materialise(disclosing(found, docs, disclosure, support), "disclosing")
-    own = found.filter(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*").distinct()
-    terms = own.join(shown, ["entity", "term"]).select("doc_id", "text_hash", F.struct(F.lit(TERM).alias("kind"), "start", "end").alias("s")).distinct()
-    terms = terms.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list("s")).alias("terms"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
-    return found.join(terms, same, "left").select("doc_id", "text_hash", F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", "terms")).alias("spans"))
+    shown = disclosing(found, docs, disclosure, prior_texts)
+    holding = found.filter(F.size("entities") > 0)
+    own = holding.select("text_hash", F.explode("entities").alias("entity")).distinct().join(shown, "entity").groupBy("text_hash").agg(F.collect_set("term").alias("terms"))
+    own = materialise(own, "disclosing")
+    own = F.broadcast(own) if own.count() <= BROADCAST_TEXTS else own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(2).to_pylist()
+            for k, (text, terms) in enumerate(zip(batch.column(3), batch.column(4))):
+                wanted = frozenset(terms.as_py() or ())
+                if wanted:
+                    base = [(s["kind"], s["start"], s["end"]) for s in spans[k]]
+                    spans[k] += [{"kind": TERM, "start": a, "end": z} for t, a, z in free_words(text.as_py(), base) if t in wanted]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS)], ["doc_id", "text_hash", "spans"])
+
+    out = holding.join(own, "text_hash", "left").select("doc_id", "text_hash", "spans", "text", "terms")
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, spans array<struct<kind: string, start: bigint, end: bigint>>"
+    return found.filter(F.size("entities") == 0).select("doc_id", "text_hash", "spans").unionByName(out.mapInArrow(run, kind))
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, general: dict[str, str] | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, prior_texts: float = PRIOR_TEXTS, general: dict[str, str] | None = None) -> DataFrame:
     """docs with each span generalised: replaced by the name of its kind (or by what general says; '' removes it)."""
     names = docs.columns
     at = names.index("text")
     put = GENERAL | (general or {})
-    spans = find(docs, disclosure, support).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
+    spans = find(docs, disclosure, prior_texts).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
 

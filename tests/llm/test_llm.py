@@ -392,6 +392,16 @@ def test_copies_of_one_text_are_one_witness(spark):
     assert shares[0]["zanzibar"] > pii.DISCLOSURE and shares[0] == pytest.approx(shares[1])
 
 
+def test_rare_entities_and_all_places_of_their_terms(spark):
+    filler = " ".join(["matters"] * 40)
+    rows = [(1, f"Wu of Zanzibar wrote from jo@x.com. {filler} Later Zanzibar, and Wu, were silent"), (2, f"{filler} jo@x.com {filler} zanzibar"), (3, "Zanzibar jo@x.com")]
+    rows += [(10 + k, f"Of the many matters that were wrote from, part {'i' * k}") for k in range(5000)]
+    found = {r.doc_id: r.spans for r in pii.find(docs(spark, rows)).collect()}
+    said = {k: [text[s.start:s.end] for s in found[k] if s.kind == "term"] for k, text in rows[:3]}
+    assert said == {1: ["Wu", "Zanzibar", "Zanzibar", "Wu"], 2: ["zanzibar"], 3: ["Zanzibar"]}
+    assert len(found) == len(rows) and not any(found[k] for k, _ in rows[3:])
+
+
 # 8 decontamination
 
 def words(text):
