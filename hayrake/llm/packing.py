@@ -18,6 +18,7 @@ longer than the capacity are cut; columns besides id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,95 +29,234 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hayrake.llm.texts import begin, groups_of_rows, text_bytes
+from hayrake.llm import texts as T
 from hayrake.session import materialise, prepare
 
 CAPACITY = 2048
 #: Classes of equal length are dealt over so many tasks.
 SALTS = 64
-#: Words whose ids each worker remembers, in two generations.
-REMEMBERED = 200_000
-#: Words looked up together; less than REMEMBERED.
-STEP = 100_000
+#: Places for words in each worker's memory (some 50 bytes each), and ids of a word that have room there.
+PLACES = 1 << 20
+WIDTH = 10
+#: What stands between blanks and goes to the tokenizer itself is remembered too: at most twice so many, up to so many characters each.
+REMEMBERED = 50_000
+LONGEST_FORM = 64
+#: Files whose words are merged here (fixed values of the format): NFC, white space dropped, lower case; letters, single digits, runs of other marks.
+WORD_BPE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    "added": [],
+}
 
 _tokenizers: dict[str, WordIds] = {}
 
 
+class Merges:
+    """Byte-pair merges of many words at once, for vocabularies of bytes with an end-of-word mark."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, end: str) -> None:
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        sign = [chr(b if b in plain else next(other)) for b in range(256)]
+        self.inner = np.array([vocab[c] for c in sign], dtype=np.int64)
+        self.last = np.array([vocab[c + end] for c in sign], dtype=np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], dtype=np.int64)
+        self.none = len(pairs)
+        self.made = np.array([*(vocab[a + b] for a, b in pairs), 0], dtype=np.int64)
+        self.shift = 64 - (4 * len(pairs)).bit_length()
+        self.keys, self.ranks = np.full(1 << (64 - self.shift), -1, dtype=np.int64), np.full(1 << (64 - self.shift), self.none, dtype=np.int32)
+        todo = np.arange(len(pairs))
+        step = 0
+        while len(todo):
+            at = self._place(keys[todo], step)
+            free = np.flatnonzero(self.keys[at] == -1)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.ranks[at[put]] = keys[todo[put]], todo[put]
+            todo = np.delete(todo, put)
+            step += 1
+
+    def _place(self, keys: np.ndarray, step: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C55)) >> np.uint64(self.shift)
+        return (h.astype(np.int64) + step) & (len(self.keys) - 1)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs; none for what is no pair."""
+        keys = (a << 20 | b).ravel()
+        at = self._place(keys, 0)
+        found = self.keys[at]
+        out = np.where(found == keys, self.ranks[at], self.none)
+        left, step = np.flatnonzero((found != keys) & (found != -1)), 1
+        while len(left):
+            at = self._place(keys[left], step)
+            found = self.keys[at]
+            out[left] = np.where(found == keys[left], self.ranks[at], self.none)
+            left = left[(found != keys[left]) & (found != -1)]
+            step += 1
+        return out.reshape(a.shape)
+
+    def __call__(self, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids (one row a word) and their number, of rows of byte values, n of them each."""
+        out, sizes = np.zeros_like(symbols, dtype=np.uint32), np.zeros(len(n), dtype=np.int64)
+        columns = np.arange(symbols.shape[1])
+        now = self.inner[symbols]
+        row = np.arange(len(n))
+        now[row, n - 1] = self.last[symbols[row, n - 1]]
+        n = n.copy()
+        rank = np.full(now.shape, self.none, dtype=np.int32)
+        rank[:, :-1] = self.rank(now[:, :-1], now[:, 1:])
+        rank[columns >= n[:, None] - 1] = self.none
+        while len(row):
+            at = rank.argmin(axis=1)
+            k = np.arange(len(row))
+            best = rank[k, at]
+            done = best == self.none
+            if done.any():
+                out[row[done]], sizes[row[done]] = now[done], n[done]
+                go = ~done
+                row, now, n, rank, at, best = row[go], now[go], n[go], rank[go], at[go], best[go]
+                k = k[: len(row)]
+                if not len(row):
+                    break
+            now[k, at] = self.made[best]
+            behind = columns[:-1] > at[:, None]
+            now[:, :-1] = np.where(behind, now[:, 1:], now[:, :-1])
+            rank[:, :-1] = np.where(behind, rank[:, 1:], rank[:, :-1])
+            n -= 1
+            left = np.flatnonzero(at > 0)
+            rank[left, at[left] - 1] = self.rank(now[left, at[left] - 1], now[left, at[left]])
+            rank[k, at] = self.none
+            right = np.flatnonzero(at < n - 1)
+            rank[right, at[right]] = self.rank(now[right, at[right]], now[right, at[right] + 1])
+        return out, sizes
+
+
 class WordIds:
-    """Token ids of whole texts, word by word, as bytes of little-endian unsigned 32-bit ids.
+    """Token ids of whole texts.
 
     The vocabulary's pre-tokenizer drops white space and never joins across
-    it, so the ids of a text are those of its blank-separated words in turn.
-    Those of a letter and one full stop or comma at the end are the ids of
-    what stands before and of the mark.
+    it. Between blanks, runs of letters of ASCII and Latin-1, single digits
+    and runs of ASCII marks are its words, whose ids are remembered by their
+    exact bytes and found by merging many words at once. What stands between
+    blanks and holds other characters, a contraction or a special token goes
+    to the tokenizer itself, as all texts do for files of another kind.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, places: int = PLACES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
-        for token, k in self.tokenizer.get_vocab().items():
-            self.ends[k] = token.endswith("</w>")
-        self.marks = {m: self._ids([m.decode()])[0] for m in (b".", b",")}
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        plain = [k for k, t in enumerate(texts) if t.isalpha()]
-        rest = []
-        for at in range(0, len(plain), 4000):  # each of these is one unit of the pre-tokenizer, so it has one last token
-            part = plain[at : at + 4000]
-            raw = self._ids([" ".join([texts[k] for k in part])])[0]
-            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1)).tolist()
-            if len(cuts) == len(part):
-                self.young.update((words[k], raw[a:z]) for k, a, z in zip(part, [0, *cuts], cuts))
-            else:
-                rest += part
-        rest += sorted(set(range(len(texts))).difference(plain))
-        if rest:
-            self.young.update(zip([words[k] for k in rest], self._ids([texts[k] for k in rest])))
-
-    def _learn(self, words: set[bytes]) -> None:
-        marks = self.marks
-        split = [w for w in words if w[-1:] in marks and w[-2:-1].isalpha()]
-        stems = {w[:-1] for w in split}.union(words.difference(split)).difference(self.young)
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        model = kind["model"]
+        self.known = fingerprint(kind) == WORD_BPE
+        if self.known:
+            self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
+            self.places = T.Remembered(places)
+            self.ids = np.zeros((len(self.places.keys), WIDTH), dtype=np.uint16 if max(model["vocab"].values()) < 1 << 16 else np.uint32)
+            self.sizes = np.zeros(len(self.places.keys), dtype=np.uint8)
+        self.young: dict[str, np.ndarray] = {}
+        self.old: dict[str, np.ndarray] = {}
+
+    def _odd(self, forms: list[str]) -> list[np.ndarray]:
+        """Ids of what stands between blanks, by the tokenizer itself."""
         new = []
-        for w in stems:
-            ids = self.old.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                self.young[w] = ids
-        if new:
-            self._encode(new)
-        for w in split:
-            self.young[w] = self.young[w[:-1]] + marks[w[-1:]]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text. Give it some ten thousand bytes at once: the words of more do not stay in the cache."""
-        words: list[bytes] = []
-        ends = []
-        for text in texts:
-            if b"<|" not in text:  # else a change of case could make a special token
-                text = text.lower()  # A-Z only, which is what the normaliser does to them
-            words += text.replace(b"\n", b" ").split(b" ")
-            ends.append(len(words))
-        ids: list[bytes] = []
-        for at in range(0, len(words), STEP):
-            part = words[at : at + STEP] if len(words) > STEP else words
-            own = set(part)
-            if len(self.young) + len(own) > REMEMBERED:
-                self.old, self.young = self.young, {}
-            new = own.difference(self.young)
-            if new:
-                self._learn(new)
-            ids += map(self.young.__getitem__, part)
-        return [b"".join(ids[a:z]) for a, z in zip([0, *ends], ends)]
+        for form in dict.fromkeys(forms):
+            if form not in self.young:
+                ids = self.old.get(form)
+                if ids is None:
+                    new.append(form)
+                else:
+                    self.young[form] = ids
+        made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        got = {f: np.asarray(e.ids, dtype=np.uint32) for f, e in zip(new, made)}
+        ids = [got[f] if f in got else self.young[f] for f in forms]
+        self.young |= {f: x for f, x in got.items() if len(f) <= LONGEST_FORM}
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        return ids
+
+    def _merged(self, low: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, sizes = np.zeros((len(s), T.UNIT_BYTES), dtype=np.uint32), np.zeros(len(s), dtype=np.int64)
+        for least, most in ((1, 4), (5, 8), (9, 12), (13, 16), (17, T.UNIT_BYTES)):
+            own = np.flatnonzero((n >= least) & (n <= most))
+            for at in range(0, len(own), 1 << 14):
+                k = own[at : at + (1 << 14)]
+                out[k, :most], sizes[k] = self.merges(low[s[k][:, None] + np.arange(most)], n[k])
+        return out, sizes
+
+    def _piece(self, part: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of a piece, the starts of its units and where their ids begin (and one more: where they end)."""
+        kind = T.KIND[part]
+        quote, angle = np.flatnonzero(part[:-1] == 39), np.flatnonzero(part[:-1] == 60)
+        odd = np.concatenate([quote[(kind[quote + 1] == T.LETTER) | (kind[quote + 1] == T.ODD)], angle[part[angle + 1] == 124]])
+        s, e, kind, low = T.units(part, rows, odd)
+        sizes = np.zeros(len(s), dtype=np.int64)
+        plain, whole = np.flatnonzero(kind != T.ODD), np.flatnonzero(kind == T.ODD)
+        n = (e - s)[plain]
+        keys, place, hit = self.places.find(low, s[plain], n)
+        new = np.flatnonzero(~hit)
+        sizes[plain] = self.sizes[place]
+        if len(new):
+            first, back = T.distinct(keys[new])
+            first = new[first]
+            made, made_sizes = self._merged(low, s[plain[first]], n[first])
+            sizes[plain[new]] = made_sizes[back]
+        forms = self._odd([part[a:z].tobytes().decode() for a, z in zip(s[whole].tolist(), e[whole].tolist())]) if len(whole) else []
+        sizes[whole] = [len(x) for x in forms]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(int(starts[-1]), dtype=np.uint32)
+
+        def put(which: np.ndarray, table: np.ndarray, row: np.ndarray) -> None:
+            column = 0
+            while len(which):
+                out[starts[which] + column] = table[row, column]
+                column += 1
+                more = sizes[which] > column
+                which, row = which[more], row[more]
+
+        put(plain[hit], self.ids, place[hit])
+        if len(new):
+            put(plain[new], made, back)
+            short = np.flatnonzero(made_sizes <= WIDTH)
+            own = short[self.places.put(keys[first[short]], place[first[short]])]
+            at = place[first[own]]
+            self.ids[at], self.sizes[at] = made[own, :WIDTH], made_sizes[own]
+        if forms:
+            where = np.repeat(starts[whole] - np.concatenate([[0], np.cumsum(sizes[whole])[:-1]]), sizes[whole])
+            out[where + np.arange(len(where))] = np.concatenate(forms)
+        return out, s, starts
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where those of each text begin (and the last ones end)."""
+        if not self.known:
+            texts = [data[a:z].tobytes().decode() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            ids = [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, dtype=np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        found, bounds, total = [np.zeros(0, dtype=np.uint32)], np.zeros(len(offsets), dtype=np.int64), 0
+        for a, z in T.pieces(data, offsets, T.NOT_BLANK):
+            lo, hi = np.searchsorted(offsets, a), np.searchsorted(offsets, z)
+            ids, s, starts = self._piece(data[a:z], np.unique(offsets[lo:hi] - a))
+            bounds[lo:hi] = total + starts[np.searchsorted(s, offsets[lo:hi] - a)]
+            total += len(ids)
+            found.append(ids)
+        bounds[np.searchsorted(offsets, len(data)) :] = total
+        return np.concatenate(found), bounds
+
+
+def fingerprint(kind: dict) -> dict:
+    """What a tokenizer file says about normalising, splitting and merging."""
+    said = {k: kind[k] for k in ("normalizer", "pre_tokenizer", "post_processor")}
+    said["model"] = {k: v for k, v in kind["model"].items() if k not in ("vocab", "merges")}
+    said["added"] = [t["content"] for t in kind["added_tokens"] if not (t["content"].startswith("<|") and t["special"])]
+    return said
 
 
 def forget() -> None:
@@ -137,19 +277,20 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     tail = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("packing", forget)
-        encode = word_ids(tokenizer)
+        T.begin("packing", forget)
+        words = word_ids(tokenizer)
         for batch in batches:
             rows, cols = [], ([], [], [], [])
             lists = []
-            data, offsets = text_bytes(batch.column(1))
-            every = (ids for lo, hi in groups_of_rows(offsets, 1 << 16) for ids in encode([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(lo, hi)]))
-            for k, ids in enumerate(every):
-                ids += tail
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+            ids, bounds = words.encode(*T.text_bytes(batch.column(1)))
+            raw, bounds = ids.astype("<u4", copy=False).tobytes(), bounds.tolist()
+            for k, (a, z) in enumerate(zip(bounds, bounds[1:])):
+                for piece, at in enumerate(range(0, z - a + 1, capacity)):
+                    part = raw[4 * (a + at) : 4 * min(z, a + at + capacity)]
+                    if at + capacity > z - a:
+                        part += tail
                     rows.append(k)
-                    for c, v in zip(cols, (piece, at // 4, len(part) // 4, zlib.crc32(part))):
+                    for c, v in zip(cols, (piece, at, len(part) // 4, zlib.crc32(part))):
                         c.append(v)
                     if with_ids:
                         lists.append(np.frombuffer(part, dtype="<u4").astype(np.int64))

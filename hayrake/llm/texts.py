@@ -25,6 +25,23 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 NOT_NEWLINE = np.ones(256, dtype=bool)
 NOT_NEWLINE[10] = False
 
+#: Kinds of bytes in units: blanks, letters (ASCII, and the two bytes of U+00C0 to U+00FF), digits, other printable ASCII, and the rest.
+BLANK, LETTER, DIGIT, MARK, ODD = range(5)
+KIND = np.full(256, ODD, dtype=np.uint8)
+KIND[33:127] = MARK
+KIND[[9, 10, 13, 32]] = BLANK
+KIND[65:91] = KIND[97:123] = LETTER
+KIND[48:58] = DIGIT
+#: Second bytes of U+00C0 to U+00FF: their kinds (the signs for times and division are no letters) and lower-case forms.
+LATIN = np.full(256, ODD, dtype=np.uint8)
+LATIN[0x80:0xC0] = LETTER
+LATIN[[0x97, 0xB7]] = ODD
+LATIN_LOW = np.arange(256, dtype=np.uint8)
+LATIN_LOW[0x80:0x9F] += 32
+NOT_BLANK = KIND != BLANK
+#: Longest unit, in bytes, that is not ODD.
+UNIT_BYTES = 24
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 _caches: dict[str, Callable[[], None]] = {}
 
@@ -83,7 +100,7 @@ def _spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
     """Byte ranges of about PIECE bytes that cut no word: at a row's start or at a byte outside words."""
     at, end = 0, len(data)
     while at < end:
@@ -109,7 +126,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool =
     wherever they stand; texts of any length are handled in bounded pieces.
     """
     starts, ends, hashes = [], [], []
-    for a, b in _pieces(data, offsets, table):
+    for a, b in pieces(data, offsets, table):
         part = data[a:b]
         lo, hi = np.searchsorted(offsets, a, side="left"), np.searchsorted(offsets, b, side="right")
         inner = np.unique(np.concatenate([[0], offsets[lo:hi] - a, [b - a]]))
@@ -142,3 +159,83 @@ def groups_of_rows(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[in
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
         yield lo, min(hi, n)
         lo = min(hi, n)
+
+
+def units(part: np.ndarray, rows: np.ndarray, odd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and kinds of the units of some bytes, and the bytes in lower case with UNIT_BYTES zeros after them.
+
+    A unit is a run of letters, one digit or a run of marks. What stands
+    between blanks and holds a byte of the kind ODD, a longer unit or one of
+    the places in odd is one unit of the kind ODD, as a whole. rows are the
+    places where texts begin; no unit crosses them.
+    """
+    kind, low = KIND[part], np.zeros(len(part) + UNIT_BYTES, dtype=np.uint8)
+    low[: len(part)] = LOWER[part]
+    if (part >= 128).any():
+        lead = np.flatnonzero(part[:-1] == 0xC3)
+        kind[lead], kind[lead + 1], low[lead + 1] = LETTER, LATIN[part[lead + 1]], LATIN_LOW[part[lead + 1]]
+    new = kind == DIGIT
+    new[1:] |= kind[1:] != kind[:-1]
+    new[rows] = True
+    if len(new):
+        new[0] = True
+    s = np.flatnonzero(new)
+    e = np.append(s[1:], len(part))
+    k = kind[s]
+    full = k != BLANK
+    bad = [np.flatnonzero(k == ODD), np.flatnonzero((e - s > UNIT_BYTES) & full)]
+    if odd is not None and len(odd):
+        bad.append(np.searchsorted(s, odd, side="right") - 1)
+    bad = np.concatenate(bad)
+    if len(bad):
+        begins = np.zeros(len(part) + 1, dtype=bool)
+        begins[rows] = True
+        first = full & (np.concatenate([[True], ~full[:-1]]) | begins[s])
+        last = full & np.concatenate([first[1:] | ~full[1:], [True]])
+        form = np.cumsum(first) - 1
+        gone = np.zeros(int(first.sum()), dtype=bool)
+        gone[form[bad]] = True
+        whole = np.flatnonzero(first)[gone]
+        inside = full & gone[np.maximum(form, 0)]
+        e[whole], k[whole] = e[last][gone], ODD
+        full &= ~inside
+        full[whole] = True
+    return s[full], e[full], k[full], low
+
+
+class Remembered:
+    """An index of units by their exact bytes, of a fixed size: a unit has one place, and the last one that was put there stays."""
+
+    def __init__(self, places: int) -> None:
+        self.shift = np.uint64(64 - max(1, places.bit_length() - 1))
+        self.keys = np.zeros((1 << (64 - int(self.shift)), 3), dtype=U64)
+
+    def find(self, low: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, places, and whether the unit is known there, of the units at s of n bytes (at most UNIT_BYTES)."""
+        eight = np.ndarray((len(low) - 7,), "<u8", buffer=low, strides=(1,))
+        keys = np.zeros((len(s), 3), dtype=U64)
+        with np.errstate(over="ignore"):
+            keys[:, 0] = eight[s] & _MASK[np.minimum(n, 8)]
+            h = keys[:, 0] * U64(_BASE)
+            for c in (1, 2):
+                more = np.flatnonzero(n > 8 * c)
+                keys[more, c] = eight[s[more] + 8 * c] & _MASK[np.minimum(n[more] - 8 * c, 8)]
+                h[more] = (h[more] ^ (h[more] >> U64(29)) ^ keys[more, c]) * U64(0xBF58476D1CE4E5B9)
+            place = (((h ^ (h >> U64(32))) * U64(0x94D049BB133111EB)) >> self.shift).astype(np.int64)
+        return keys, place, (self.keys[place] == keys).all(axis=1)
+
+    def put(self, keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Remembers units at their places; returns which ones (one for each place)."""
+        _, at = np.unique(place, return_index=True)
+        self.keys[place[at]] = keys[at]
+        return at
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different key first stands in order, and for every key the number of its first."""
+    order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
+    ordered = keys[order]
+    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)])[: len(keys)]
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back

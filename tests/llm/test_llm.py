@@ -134,12 +134,45 @@ def tokenizer():
 ODD = ["", "a.", "a..", "A.b, c", "x'll. don't.", "<|endoftext|> <|ENDOFTEXT|> Hi.", "Été. İ. ΣΣ.", "á. é, 12.", "  .\n, \t\x0b.x  y z. \x00 \x00a.", "ẞ. ﬁ, ª. ʰ. ǅ,", "日本。 b, \U0001d400.", "a<|endoftext|>."]
 
 
-def test_word_ids_are_those_of_whole_texts():
+def same_ids(words, own, column):
+    ids, bounds = words.encode(*texts.text_bytes(pa.array(column, pa.string())))
+    want = [e.ids for e in own.encode_batch_fast(column, add_special_tokens=False)]
+    assert [ids[a:z].tolist() for a, z in itertools.pairwise(bounds.tolist())] == want
+
+
+@pytest.mark.parametrize("places", [1 << 16, 4])
+def test_word_ids_are_those_of_whole_texts(places):
     path, own = tokenizer()
-    fast = packing.WordIds(path)
-    want = [np.asarray(own.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in ODD]
-    assert fast([t.encode() for t in ODD]) == want
-    assert [fast([t.encode()])[0] for t in ODD] == want
+    fast = packing.WordIds(path, places)
+    assert fast.known
+    alphabet = "abcdeXYZ'`sdtm ..,<|>1290 \t\r\n-_éÀßÿ×÷œŒαΣς日本İıǅ\u0338\u0301=\u00a0\x00\x1c\x85ªʰẞﬁ²½٣"
+
+    @settings(max_examples=80, deadline=None)
+    @given(st.lists(st.text(alphabet=alphabet, max_size=60), max_size=8), st.sampled_from([3, 40, 1 << 19]))
+    def check(column, piece):
+        old, texts.PIECE = texts.PIECE, piece
+        try:
+            same_ids(fast, own, column)
+        finally:
+            texts.PIECE = old
+
+    check()
+    for _ in range(2):
+        same_ids(fast, own, ODD)
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 8, 9, 16, 17, 23, 24, 25, 60):
+        same_ids(fast, own, ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), n)) for _ in range(200)])
+        same_ids(fast, own, ["".join(rng.choice(list("!#$%&()*+,-./:;<=>?@[]^_`{|}~"), n)) for _ in range(100)])
+
+
+def test_other_tokenizer_files_are_left_to_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = packing.WordIds(path)
+    assert not other.known
+    same_ids(other, Tokenizer.from_file(path), ["", "A b.", "é  x"])
 
 
 @settings(max_examples=100, deadline=None)
