@@ -66,41 +66,13 @@ class Merges:
         self.inner = np.array([vocab[c] for c in sign], dtype=np.int64)
         self.last = np.array([vocab[c + end] for c in sign], dtype=np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], dtype=np.int64)
-        self.none = len(pairs)
+        self.numbers = T.Numbers(np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], dtype=np.uint64))
+        self.none = self.numbers.none
         self.made = np.array([*(vocab[a + b] for a, b in pairs), 0], dtype=np.int64)
-        self.shift = 64 - (4 * len(pairs)).bit_length()
-        self.keys, self.ranks = np.full(1 << (64 - self.shift), -1, dtype=np.int64), np.full(1 << (64 - self.shift), self.none, dtype=np.int32)
-        todo = np.arange(len(pairs))
-        step = 0
-        while len(todo):
-            at = self._place(keys[todo], step)
-            free = np.flatnonzero(self.keys[at] == -1)
-            _, one = np.unique(at[free], return_index=True)
-            put = free[one]
-            self.keys[at[put]], self.ranks[at[put]] = keys[todo[put]], todo[put]
-            todo = np.delete(todo, put)
-            step += 1
-
-    def _place(self, keys: np.ndarray, step: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C55)) >> np.uint64(self.shift)
-        return (h.astype(np.int64) + step) & (len(self.keys) - 1)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of pairs; none for what is no pair."""
-        keys = (a << 20 | b).ravel()
-        at = self._place(keys, 0)
-        found = self.keys[at]
-        out = np.where(found == keys, self.ranks[at], self.none)
-        left, step = np.flatnonzero((found != keys) & (found != -1)), 1
-        while len(left):
-            at = self._place(keys[left], step)
-            found = self.keys[at]
-            out[left] = np.where(found == keys[left], self.ranks[at], self.none)
-            left = left[(found != keys[left]) & (found != -1)]
-            step += 1
-        return out.reshape(a.shape)
+        return self.numbers((a << 20 | b).ravel().view(np.uint64)).reshape(a.shape)
 
     def __call__(self, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids (one row a word) and their number, of rows of byte values, n of them each."""

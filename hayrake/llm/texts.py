@@ -239,3 +239,39 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     back = np.empty(len(keys), dtype=np.int64)
     back[order] = np.cumsum(new) - 1
     return order[new], back
+
+
+class Numbers:
+    """An exact map from different 64-bit keys (not all bits set) to their numbers in order."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.none = len(keys)
+        self.shift = U64(64 - max(1, (4 * len(keys)).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), ~U64(0), dtype=U64)
+        self.numbers = np.full(len(self.keys), self.none, dtype=np.int32)
+        left, step = np.arange(len(keys)), 0
+        while len(left):
+            at = self._place(keys[left], step)
+            free = np.flatnonzero(self.keys[at] == ~U64(0))
+            put = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[put]], self.numbers[at[put]] = keys[left[put]], left[put]
+            left, step = np.delete(left, put), step + 1
+
+    def _place(self, keys: np.ndarray, step: int) -> np.ndarray:
+        return (((keys * U64(_BASE)) >> self.shift).astype(np.int64) + step) & (len(self.keys) - 1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of keys; none for those that are not in the map."""
+        at = self._place(keys, 0)
+        found = self.keys[at]
+        other = found != keys
+        out = self.numbers[at]
+        out[other] = self.none
+        left, step = np.flatnonzero(other & (found != ~U64(0))), 1
+        while len(left):
+            at = self._place(keys[left], step)
+            found = self.keys[at]
+            same = found == keys[left]
+            out[left[same]] = self.numbers[at[same]]
+            left, step = left[~same & (found != ~U64(0))], step + 1
+        return out

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import itertools
 import re
@@ -262,6 +263,58 @@ def test_language_edges(spark):
     assert {r.score for r in kept.collect()} == {1}
 
 
+def test_backoff_equals_a_plain_loop():
+    """Words, then the longest known n-gram from each place on, by a loop over strings and counts."""
+    rng = np.random.default_rng(4)
+    letters = {"a": "abcdeß", "b": "cdeféü", "c": "œдabf"}
+    train = [(g, " ".join("".join(rng.choice(list(x), rng.integers(1, 7))) for _ in range(400))) for g, x in letters.items()]
+    counts = collections.Counter((g, w) for g, t in train for w in re.findall(r"[^\W\d_]+", t.lower()))
+    model = langid.Model.fit([(g, w, n) for (g, w), n in counts.items()])
+    by = {g: collections.Counter({w: n for (x, w), n in counts.items() if x == g}) for g in letters}
+    known = {w for w in {w for _, w in counts} if sum(by[g][w] for g in by) >= langid.LEAST_WORD}
+    grams = {g: collections.Counter() for g in letters}
+    for g in letters:
+        for w, n in by[g].items():
+            for size in range(1, langid.LONGEST + 1):
+                for i in range(len(w) + 3 - size):
+                    grams[g][f" {w} "[i:i + size]] += n
+    seen = {x for g in grams for x in grams[g] if sum(grams[h][x] for h in grams) >= (1 if len(x) == 1 else langid.LEAST_GRAM)}
+
+    @functools.cache
+    def below(kind, g, size):
+        table, names = {"word": (by, known), "gram": (grams, seen)}[kind]
+        return sum(n for y, n in table[g].items() if size in (None, len(y))) + 0.5 * sum(size in (None, len(y)) for y in names)
+
+    def log(kind, x, g, size=None):
+        return np.log(({"word": by, "gram": grams}[kind][g][x] + 0.5) / below(kind, g, size))
+
+    def plain(word, g):
+        if word in known:
+            return log("word", word, g)
+        said, at, found = f" {word} ", 0, []
+        while at < len(said) - 1:
+            size = next((n for n in range(langid.LONGEST, 0, -1) if at + n <= len(said) and said[at:at + n] in seen), 0)
+            found.append(log("gram", said[at:at + size], g, size) if size else -12.0)
+            at += max(1, size - 1)
+        return 1.5 * sum(found) / len(found)
+
+    ask = ["", None, "12 -- ² Ⅷ!", "ab ÉÜ, cab/ßa 3x", "a" * 40 + " œа", "qqq abcde. Éfc\tdд\u0301 ª", "zz"] + [" ".join("".join(rng.choice(list("abcdefßéüœдzQÉ'.2 ×"), rng.integers(1, 30))) for _ in range(30)) for _ in range(40)]
+    for piece in (1 << 19, 20):
+        old, texts.PIECE = texts.PIECE, piece
+        try:
+            got = langid.Predictor(model)(pa.array(ask, pa.string()))
+        finally:
+            texts.PIECE = old
+        for text, (lang, score) in zip(ask, got):
+            own = [w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if any(map(str.isalpha, w))]
+            if not own:
+                assert (lang, score) == ("und", 0.0)
+                continue
+            logs = np.array([sum(plain(w, g) for w in own) for g in sorted(letters)]) * min(len(own), langid.EVIDENCE) / len(own)
+            assert lang == sorted(letters)[int(np.argmax(np.round(logs, 9)))]
+            assert score == pytest.approx(1 / np.exp(logs - logs.max()).sum())
+
+
 # 4 line dedup
 
 def brute_lines(rows, least, bytes_):
