@@ -61,14 +61,14 @@ class Model:
         return self.languages, self.words, self.word_logs, self.grams, self.gram_logs[:-1], self.name
 
     @classmethod
-    def fit(cls, counts: list[tuple[str, str, int]]) -> Model:
-        """From (language, word, count)."""
-        languages = sorted({x[0] for x in counts})
-        at = {x: k for k, x in enumerate(languages)}
-        number: dict[str, int] = {}
-        where = np.array([number.setdefault(w, len(number)) for _, w, _ in counts], dtype=np.int64)
+    def fit(cls, counts: pa.Table) -> Model:
+        """From columns lang, word and n."""
+        names, said = counts["lang"].combine_chunks().dictionary_encode(), counts["word"].combine_chunks().dictionary_encode()
+        languages = sorted(names.dictionary.to_pylist())
+        column = np.array([languages.index(x) for x in names.dictionary.to_pylist()], dtype=np.int64)
+        number = {w: k for k, w in enumerate(said.dictionary.to_pylist())}
         by_word = np.zeros((len(number), len(languages)))
-        np.add.at(by_word, (where, np.array([at[x] for x, _, _ in counts], dtype=np.int64)), [n for _, _, n in counts])
+        np.add.at(by_word, (said.indices.to_numpy(), column[names.indices.to_numpy()]), counts["n"].to_numpy())
 
         def logs(table: dict[str, int], n: np.ndarray, least: int) -> tuple[list[str], np.ndarray]:
             kept = np.flatnonzero(n.sum(axis=1) >= least)
@@ -81,8 +81,8 @@ class Model:
         padded = [f" {w} " for w in number]
         for size in range(1, LONGEST + 1):
             own: dict[str, int] = {}
-            code = np.array([own.setdefault(w[i : i + size], len(own)) for w in padded for i in range(len(w) - size + 1)], dtype=np.int64)
-            of = np.repeat(np.arange(len(padded)), [max(0, len(w) - size + 1) for w in padded])
+            code = np.fromiter((own.setdefault(w[i : i + size], len(own)) for w in padded for i in range(len(w) - size + 1)), dtype=np.int64)
+            of = np.repeat(np.arange(len(padded)), np.fromiter((max(0, len(w) - size + 1) for w in padded), dtype=np.int64))
             n = np.column_stack([np.bincount(code, by_word[of, k], len(own)) for k in range(len(languages))]) if languages else np.zeros((0, 0))
             names, table = logs(own, n, 1 if size == 1 else LEAST_GRAM)
             grams += names
@@ -230,7 +230,7 @@ def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in keys], "word": [k[1] for k in keys], "n": pa.array(counts.values(), pa.int64())})
 
     counts = labelled.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model.fit(sorted((r.lang, r.word, r.n) for r in counts.collect()))  # words of the sample only
+    return Model.fit(counts.toArrow())  # words of the sample only
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

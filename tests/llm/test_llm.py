@@ -269,7 +269,7 @@ def test_backoff_equals_a_plain_loop():
     letters = {"a": "abcdeß", "b": "cdeféü", "c": "œдabf"}
     train = [(g, " ".join("".join(rng.choice(list(x), rng.integers(1, 7))) for _ in range(400))) for g, x in letters.items()]
     counts = collections.Counter((g, w) for g, t in train for w in re.findall(r"[^\W\d_]+", t.lower()))
-    model = langid.Model.fit([(g, w, n) for (g, w), n in counts.items()])
+    model = langid.Model.fit(pa.table({"lang": [g for g, _ in counts], "word": [w for _, w in counts], "n": list(counts.values())}))
     by = {g: collections.Counter({w: n for (x, w), n in counts.items() if x == g}) for g in letters}
     known = {w for w in {w for _, w in counts} if sum(by[g][w] for g in by) >= langid.LEAST_WORD}
     grams = {g: collections.Counter() for g in letters}
