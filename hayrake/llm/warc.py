@@ -4,9 +4,14 @@ An archive is a row of gzip members, one for each record. The reader deals
 byte ranges of the files to tasks: each looks for the gzip magic in its
 range, accepts a candidate if it decodes to a WARC header whose record has
 the stated length, and owns the records that start inside the range (the last
-may end beyond it). A run of members inside a payload (an archive that was
-itself archived) ends before the file does without another member; it is
-passed over.
+may end beyond it). After what is no valid record, such as a damaged or cut
+member or other bytes, the search goes on at the next magic; how many bytes
+were passed over is counted.
+
+A payload may hold members itself (an archive that was archived). So a first
+pass finds how far the records of each range reach, and a range is read from
+where those of earlier ranges end. Only inside a damaged record, whose extent
+nobody knows, members of its payload are records of their own.
 
 Files are reached by `pyarrow.fs`, so the folder may be on any store that it
 knows. Defined results: a null payload is empty; null addresses are left out
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hayrake.session import materialise, prepare
 
@@ -135,44 +141,53 @@ class Ranged:
         return self.held[start - self.at : start - self.at + n]
 
 
-def member(source: Ranged, at: int) -> tuple[bytes, int] | None:
-    """The content and end of the gzip member at a place, if it holds a WARC record."""
+def member(source: Ranged, at: int, keep: bool = True) -> tuple[dict[str, str], bytes, int] | None:
+    """Headers, block (on request) and end of the gzip member at a place, if it holds one record of the length that it states."""
     if source.get(at, 3) != MAGIC:
         return None
-    unpack, parts, pos, checked = zlib.decompressobj(31), [], at, False
+    unpack, pos, raw, size, tail, headers, want = zlib.decompressobj(31), at, bytearray(), 0, b"", None, 0
     try:
         while not unpack.eof:
             chunk = source.get(pos, 1 << 16)
             if not chunk:
                 return None
-            parts.append(unpack.decompress(chunk))
             pos += len(chunk)
-            if not checked and sum(map(len, parts)) >= 7:
-                if not b"".join(parts).startswith(b"WARC/1."):
+            part = unpack.decompress(chunk)
+            size += len(part)
+            tail = (tail + part)[-4:]
+            if keep or headers is None:
+                raw += part
+            if headers is None:
+                if not b"WARC/1.".startswith(bytes(raw[:7])):
                     return None
-                checked = True
+                cut = raw.find(b"\r\n\r\n")
+                if cut >= 0:
+                    headers = parse(bytes(raw[:cut]))
+                    if headers is None:
+                        return None
+                    want = cut + 8 + int(headers["content-length"])
+                    del raw[: cut + 4]
+            if headers is not None and size > want:
+                return None
     except zlib.error:
         return None
-    raw = b"".join(parts)
-    return (raw, pos - len(unpack.unused_data)) if raw.startswith(b"WARC/1.") else None
+    if headers is None or size != want or tail != b"\r\n\r\n":
+        return None
+    return headers, bytes(raw[:-4]) if keep else b"", pos - len(unpack.unused_data)
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes] | None:
-    """Headers and block of a record, if it has the length that its header states."""
-    head, found, rest = raw.partition(b"\r\n\r\n")
-    if not found:
-        return None
+def parse(head: bytes) -> dict[str, str] | None:
+    """The headers of a record, if they name its type and length."""
     headers = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         headers[name.strip().lower()] = value.strip()
     size = headers.get("content-length", "")
-    if not size.isdigit() or "warc-type" not in headers or len(rest) != int(size) + 4 or rest[-4:] != b"\r\n\r\n":
-        return None
-    return headers, rest[:-4]
+    return headers if size.isascii() and size.isdigit() and len(size) < 19 and "warc-type" in headers else None
 
 
-def records_of_range(source: Ranged, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def records_of_range(source: Ranged, start: int, end: int, keep: bool = True) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Start, end, headers and block of the valid records that begin in a range."""
     at = start
     while at < end:
         window = source.get(at, min(1 << 20, end - at + len(MAGIC) - 1))
@@ -183,25 +198,62 @@ def records_of_range(source: Ranged, start: int, end: int) -> Iterator[tuple[int
         at += hit
         if at >= end:
             return
-        pos, chain = at, []
-        while pos < end and (got := member(source, pos)) and (parsed := parse(got[0])):
-            chain.append((pos, *parsed))
-            pos = got[1]
-        whole = bool(chain) and (pos >= end or pos >= source.size)
-        if whole and pos < source.size:  # the next member must follow at once
-            whole = source.get(pos, 3) == MAGIC
-        if whole:
-            yield from chain
-            at = pos
-        else:
+        got = member(source, at, keep)
+        if got is None:
             at += 1
+        else:
+            yield at, got[2], got[0], got[1]
+            at = got[2]
+
+
+def ranges_of(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, bytes, start and end of each range, and begin: where the records of earlier ranges have ended."""
+    starts = manifest.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, path = _file_system(row["path"])
+                reach, end = 0, min(row["bytes"], row["start"] + range_bytes)
+                with store.open_input_file(path) as file:
+                    for _, reach, _, _ in records_of_range(Ranged(file, row["bytes"]), row["start"], end, keep=False):
+                        pass
+                yield pa.RecordBatch.from_pylist([row | {"end": end, "reach": reach}], pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("bytes", "start", "end", "reach"))]))
+
+    found = _dealt(starts).mapInArrow(run, "path string, bytes bigint, start bigint, end bigint, reach bigint")
+    before = F.max("reach").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    return materialise(found.withColumn("begin", F.greatest("start", F.coalesce(before, F.lit(0)))).drop("reach"), "ranges")
+
+
+def _dealt(ranges: DataFrame) -> DataFrame:
+    return ranges.repartition(ranges.sparkSession.sparkContext.defaultParallelism * 4, "path", "start")
+
+
+def passed_over(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, start, records and skipped (bytes that belong to no valid record) of each range."""
+    prepare(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, path = _file_system(row["path"])
+                n, used = 0, 0
+                with store.open_input_file(path) as file:
+                    for a, z, _, _ in records_of_range(Ranged(file, row["bytes"]), row["begin"], row["end"], keep=False):
+                        n, used = n + 1, used + min(z, row["end"]) - a
+                skipped = max(0, row["end"] - row["begin"] - used)
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "start": row["start"], "records": n, "skipped": skipped}], pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("start", "records", "skipped"))]))
+
+    return _dealt(ranges_of(spark, manifest, range_bytes)).mapInArrow(run, "path string, start bigint, records bigint, skipped bigint")
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """All records of the archives of a manifest (path, bytes): a row for each, with headers and payload."""
+    """All valid records of the archives of a manifest (path, bytes): a row for each, with headers and payload.
+
+    `passed_over` says how many bytes belong to none.
+    """
     prepare(spark)
-    starts = manifest.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
-    ranges = starts.repartition(spark.sparkContext.defaultParallelism * 4, "path", "start")
+    ranges = _dealt(ranges_of(spark, manifest, range_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +261,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = R
                 store, path = _file_system(row["path"])
                 rows, held = [], 0
                 with store.open_input_file(path) as file:
-                    for at, headers, block in records_of_range(Ranged(file, row["bytes"]), row["start"], min(row["bytes"], row["start"] + range_bytes)):
+                    for at, _, headers, block in records_of_range(Ranged(file, row["bytes"]), row["begin"], row["end"]):
                         revisit = headers["warc-type"] == "revisit"
                         payload = None if revisit else block.partition(b"\r\n\r\n")[2]
                         rows.append({
