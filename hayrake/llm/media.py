@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from hayrake.session import prepare
+from hayrake.session import materialise, prepare
 
 TILE = 32
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
@@ -44,9 +45,17 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 
 
 def decode(content: bytes) -> np.ndarray:
-    """Samples of a Netpbm (P1 to P6) or uncompressed 8, 24 or 32-bit BMP file; ValueError for others."""
-    if content[:2] == b"BM":
-        return _decode_bmp(content)
+    """Samples of a Netpbm (P1 to P6) or uncompressed 8, 24 or 32-bit BMP file; ValueError for others.
+
+    Samples above the stated maximum count as the maximum.
+    """
+    try:
+        return _decode_bmp(content) if content[:2] == b"BM" else _decode_netpbm(content)
+    except (IndexError, OverflowError, TypeError, struct.error) as e:
+        raise ValueError(f"undecodable image: {e}") from e
+
+
+def _decode_netpbm(content: bytes) -> np.ndarray:
     if not re.match(rb"P[1-6]", content):
         raise ValueError("neither Netpbm nor BMP")
     kind, at, head = content[1] - 48, 2, []
@@ -54,6 +63,8 @@ def decode(content: bytes) -> np.ndarray:
         m = _TOKEN.match(content, at)
         if not m:
             raise ValueError("cut header")
+        if not m[1].isdigit():
+            raise ValueError("a size is no number")
         head.append(int(m[1]))
         at = m.end()
     w, h, most = (*head, 1)[:3]
@@ -67,7 +78,7 @@ def decode(content: bytes) -> np.ndarray:
         values = np.unpackbits(rows, axis=1)[:, :w]
     else:
         values = np.frombuffer(content, dtype=np.uint8 if most < 256 else ">u2", count=h * w * depth, offset=at + 1)
-    values = values.reshape(-1)[: h * w * depth].reshape(shape)
+    values = np.clip(values.reshape(-1)[: h * w * depth].reshape(shape), 0, max(most, 1))
     if kind in (1, 4):
         return ((1 - values) * 255).astype(np.uint8)
     return values.astype(np.uint8) if most == 255 else (values.astype(np.int64) * 255 // max(most, 1)).astype(np.uint8)
@@ -77,7 +88,7 @@ def _decode_bmp(content: bytes) -> np.ndarray:
     if len(content) < 54:
         raise ValueError("cut header")
     at, _, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", content, 10)
-    if packed or bits not in (8, 24, 32):
+    if packed or bits not in (8, 24, 32) or w < 0:
         raise ValueError("this kind of BMP is not supported")
     step = -(-w * bits // 32) * 4
     rows = np.frombuffer(content, dtype=np.uint8, count=step * abs(h), offset=at).reshape(abs(h), step)[:, : w * bits // 8]
@@ -127,9 +138,9 @@ def difference_hash(samples: np.ndarray) -> str:
 
 
 def npy_tile(samples: np.ndarray, side: int = TILE) -> bytes:
-    """A tile of side x side area means, 8-bit, as an NPY file."""
+    """A tile of side x side area means, 8-bit (to six places first, so that halves are halves), as an NPY file."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(resize(samples, side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.ascontiguousarray(np.clip(np.rint(np.round(resize(samples, side, side), 6)), 0, 255), dtype=np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -175,8 +186,18 @@ def text_media(docs: DataFrame, width: int = 64) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
+def stored_media(docs: DataFrame, width: int = 64) -> DataFrame:
+    """Digests of the texts' images and tiles, both written to the shared folder and read back.
+
+    The columns of `media_digests`, with tile_bytes and tile_sha256 for the tile.
+    """
+    media = materialise(text_media(docs, width), "media")
+    tiles = materialise(media_digests(media), "tiles")
+    return tiles.select(*[c for c in tiles.columns if c != "tile"], F.octet_length("tile").cast("bigint").alias("tile_bytes"), F.sha2("tile", 256).alias("tile_sha256"))
+
+
 def media_digests(media: DataFrame) -> DataFrame:
-    """Digests of what is read back from stored media: doc_id, n_bytes and the payload's and the file's columns."""
+    """Digests of stored media: doc_id, n_bytes, the payload's and the file's columns, and the tile."""
     import hashlib
     import zlib
 
