@@ -233,7 +233,8 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, prior_texts: float
     put = GENERAL | (general or {})
     spans = find(docs, disclosure, prior_texts).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names that cannot clash
+    same = F.col(f"c{names.index('doc_id')}").eqNullSafe(F.col("_id")) & (F.xxhash64(f"c{at}") == F.col("_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,6 +251,4 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, prior_texts: float
                     texts[k] = "".join(parts) + texts[k][end:]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(at).type) if c == at else batch.column(c) for c in range(len(names))], names)
 
-    return docs.join(spans, same, "left").drop("_id", "_hash").mapInArrow(run, docs.schema)
-
-
+    return plain.join(spans, same, "left").drop("_id", "_hash").mapInArrow(run, docs.schema)
