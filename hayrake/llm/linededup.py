@@ -85,7 +85,7 @@ def remove_boilerplate(docs: DataFrame, site_col: str, min_sites: int = MIN_SITE
     out documents all of whose non-empty lines are removed.
     """
     spark = prepare(docs.sparkSession)
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
     at, id_at = names.index("text"), names.index("doc_id")
     found = materialise(boilerplate(docs, site_col, min_sites, min_bytes), "boilerplate")
     n = found.count()
@@ -105,7 +105,8 @@ def remove_boilerplate(docs: DataFrame, site_col: str, min_sites: int = MIN_SITE
 
         own = docs.select(*key, "text").mapInArrow(explode, f"_id {kind}, _hash bigint, line bigint").distinct().join(found, "line")
         own = own.groupBy("_id", "_hash").agg(F.collect_list("line").alias("_found"), F.collect_list(F.col("_id").eqNullSafe(F.col("owner"))).alias("_own"))
-        docs = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash")), "left").drop("_id", "_hash")
+        same = F.col(f"c{id_at}").eqNullSafe(F.col("_id")) & F.xxhash64(f"c{at}").eqNullSafe(F.col("_hash"))
+        docs = docs.toDF(*(f"c{k}" for k in range(len(names)))).join(own, same, "left").drop("_id", "_hash")  # names that cannot clash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.begin("linededup")
@@ -151,5 +152,5 @@ def remove_boilerplate(docs: DataFrame, site_col: str, min_sites: int = MIN_SITE
             out = pa.RecordBatch.from_arrays(cols, [*names, "n_lines", "n_removed"] if counts else names)
             yield out.filter(pa.array(keep)) if drop_emptied else out
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("_found", "_own"))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return docs.mapInArrow(run, kind + (", n_lines bigint, n_removed bigint" if counts else ""))
