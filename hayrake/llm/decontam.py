@@ -9,7 +9,8 @@ the automaton.
 Defined results: null and empty texts have no words; items without words
 match nothing; repeated items and documents count as they are; empty tables
 give empty or clean results; columns besides ids and texts are ignored by
-`contamination` and kept by `remove_contamination`.
+`contamination` and kept by `remove_contamination`, whatever their names. The
+longest match is known up to PART_WORDS words.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from hayrake.llm import texts as T
 from hayrake.session import materialise, prepare
 
 WINDOW = 10
-#: Bytes of item texts in one automaton; more items make more passes over the documents.
+#: Bytes of item texts in one automaton. More items make more passes over the documents' texts, each of which writes hits only.
 BLOCK_BYTES = 512 << 10
+#: Items of more words are cut into parts of so many, which overlap by a window less a word and so have the same windows.
+PART_WORDS = 8192
+#: Documents with hits, of several passes, that are broadcast with them; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 _automata: dict[tuple, Automaton] = {}
 
@@ -205,58 +210,101 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[str, str]], bool]]:
-    """Item names and texts, in blocks of bounded size, one in the driver at a time; whether it is the last."""
+def _parts(benchmark: DataFrame, window: int) -> DataFrame:
+    """name and text of the different items, long ones in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(PART_WORDS, window)
+        for batch in batches:
+            names, texts = [], []
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data, offsets = T.text_bytes(pa.array([value.as_py()], pa.large_string()))
+                s, e, _, _ = T.words(data, offsets, T.ALNUM)
+                for at in range(0, max(1, len(s) - window + 1), size - window + 1):
+                    last = min(at + size, len(s))
+                    names.append(name)
+                    texts.append(data[s[at] : e[last - 1]].tobytes().decode() if len(s) else "")
+            yield pa.RecordBatch.from_pydict({"name": names, "text": texts})
+
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    return items.distinct().mapInArrow(run, "name string, text string").distinct()
+
+
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[tuple[list[tuple[str, str]], int]]:
+    """Item names and texts, in blocks of about BLOCK_BYTES, one in the driver at a time, and the number of blocks."""
+    items = materialise(_parts(benchmark, window), "items")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n = max(1, -(-size // BLOCK_BYTES))
     for k in range(n):
         own = items if n == 1 else items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        yield sorted((r.name or "", r.text) for r in own.collect()), k == n - 1
+        yield sorted((r.name, r.text) for r in own.collect()), n
 
 
 _HITS = "_words bigint, _hits array<bigint>, _items array<string>, _longest bigint"
 _HITS_ARROW = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()]
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, window: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
-    """docs with _words, _hits (starts and ends of hit word ranges in turn), _items and _longest.
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch], kind: str) -> DataFrame:
+    """What finish makes of docs with four last columns: words, hits (starts and ends of hit word ranges in turn), items and longest match.
 
-    finish turns batches of these into batches of docs, in the task that makes them.
+    With one block of items this is one pass; with more, each block's pass
+    writes the hits of the documents that have some, and they are joined.
     """
     spark = prepare(docs.sparkSession)
-    at = docs.columns.index("text")
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for k, (block, last) in enumerate(_blocks(benchmark)):
+    names = docs.columns
+    at = names.index("text")
+    passes = []
+    for block, n in _blocks(benchmark, window):
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], k=k, shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+        def rows(column: pa.Array, shared=shared) -> list[pa.Array]:
             T.begin("decontam", forget)
             auto = automaton(shared.value, window)
+            cols: tuple[list, ...] = ([], [], [], [])
+            for n_words, hits, items, longest, *_ in scan(column, auto):
+                for c, v in zip(cols, (n_words, [x for r in hits for x in r], sorted({auto.names[x] for x in items}), longest)):
+                    c.append(v)
+            return [pa.array(c, t) for c, t in zip(cols, _HITS_ARROW)]
+
+        def whole(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = rows(batch.column(at))
+                yield finish(pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *"0123"]))
+
+        def some(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cols: tuple[list, ...] = ([], [], [], [])
-                old = [batch.column(c).to_pylist() for c in range(-3, 0)] if k else None
-                for i, (n, hits, items, longest, *_) in enumerate(scan(batch.column(at), auto)):
-                    names = {auto.names[x] for x in items}
-                    if old:
-                        flat = old[0][i]
-                        hits = merged([*hits, *zip(flat[::2], flat[1::2])])
-                        names |= set(old[1][i])
-                        longest = max(longest, old[2][i])
-                    for c, v in zip(cols, (n, [x for r in hits for x in r], sorted(names), longest)):
-                        c.append(v)
-                base = batch.columns[: len(batch.columns) - (4 if k else 0)]
-                names = batch.schema.names[: len(base)]
-                out = pa.RecordBatch.from_arrays([*base, *(pa.array(c, t) for c, t in zip(cols, _HITS_ARROW))], [*names, "_words", "_hits", "_items", "_longest"])
-                yield finish(out) if last and finish else out
-
-        docs = (materialise(docs, "marked") if k else docs).mapInArrow(run, plain if last and finish else f"{plain}, {_HITS}")
-    return docs
+                found = rows(batch.column(2))
+                keep = pa.array([len(x) > 0 for x in found[1]], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found], ["_id", "_hash", "_words", "_hits", "_items", "_longest"]).filter(keep)
+
+        if n == 1:
+            return docs.mapInArrow(whole, kind)
+        own = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text").mapInArrow(some, f"_id {docs.schema['doc_id'].dataType.simpleString()}, _hash bigint, {_HITS}")
+        passes.append(materialise(own.dropDuplicates(["_id", "_hash"]), "hits"))
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.union(more)
+    found = materialise(found.groupBy("_id", "_hash").agg(F.flatten(F.collect_list("_hits")).alias("_hits"), F.flatten(F.collect_list("_items")).alias("_items"), F.max("_longest").alias("_longest")), "hits")
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, items, longest = (batch.column(len(names) + c).to_pylist() for c in range(3))
+            data, offsets = T.text_bytes(batch.column(at))
+            sizes = np.diff(T.row_bounds(T.words(data, offsets, T.ALNUM)[2], len(batch)))
+            hits = [[x for r in merged(list(zip(h[::2], h[1::2]))) for x in r] if h else [] for h in hits]
+            cols = [pa.array(c, t) for c, t in zip((sizes, hits, [sorted(set(x or ())) for x in items], [x or 0 for x in longest]), _HITS_ARROW)]
+            yield finish(pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], [*names, *"0123"]))
+
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names that cannot clash
+    same = F.col(f"c{names.index('doc_id')}").eqNullSafe(F.col("_id")) & (F.xxhash64(f"c{at}") == F.col("_hash"))
+    return plain.join(found, same, "left").drop("_id", "_hash").mapInArrow(joined, kind)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, item_ids (as strings), hits (word ranges), longest."""
-    found = _marked(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), window)
+    finish = lambda batch: pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:]], ["doc_id", "_words", "_hits", "_items", "_longest"])
+    found = _marked(docs.select("doc_id", "text"), benchmark, window, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_HITS}")
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_hits") / 2).cast("int") - 1), lambda i: F.struct(F.element_at("_hits", 2 * i + 1).alias("first"), F.element_at("_hits", 2 * i + 2).alias("end")))
     hits = F.when(F.size("_hits") == 0, F.expr("cast(array() as array<struct<first: bigint, end: bigint>>)")).otherwise(pairs)
     return found.select("doc_id", F.col("_words").alias("n_words"), hits.alias("hits"), F.col("_items").alias("item_ids"), F.col("_longest").alias("longest")).withColumn(
@@ -297,4 +345,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
             cols[at] = pa.array(texts, batch.schema.field(at).type)
         return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    return _marked(docs, benchmark.select("item_id", "text"), window, cut)
+    return _marked(docs, benchmark, window, cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
