@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hayrake.llm import texts as T
 from hayrake.llm.graph import components
@@ -42,6 +43,8 @@ BANDS = BUCKETS // ROWS
 #: Largest band whose members are compared as pairs; larger ones go in blocks of BLOCK members.
 SMALL = 32
 BLOCK = 512
+#: Bytes of sets in a block, about.
+CELL_BYTES = 16 << 20
 #: Tables of at most so many rows of a few numbers are broadcast; larger ones are joined by shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -279,20 +282,42 @@ def _block_links(percent: int) -> Callable[[list[pa.RecordBatch]], pa.RecordBatc
     return handle
 
 
+def mixed_of(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, size, comp, n (members of the band) and main (its largest component) of the bands in several components."""
+    now = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
+    by_comp = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).filter("comps > 1").select("key", "n", F.col("top.comp").alias("main"))
+    return materialise(now.join(mixed, "key"), "mixed")
+
+
+def cells_of(many: DataFrame) -> DataFrame:
+    """The members of large bands by cell: group, key, node, comp, block and two (whether the cell is of two blocks).
+
+    The members of a band's main component are in no cell with each other: a
+    cell joins a block of the others with itself, with another of them or
+    with a block of the main ones. Blocks have at most about BLOCK members
+    and CELL_BYTES of sets.
+    """
+    side = many.withColumn("is_main", F.col("comp") == F.col("main"))
+    sizes = side.groupBy("key").agg(
+        *(F.greatest(F.lit(1), F.ceil(F.count(F.when(own, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(own, F.col("size"))), F.lit(0)) * 8 / CELL_BYTES)).cast("int").alias(name) for name, own in (("mains", F.col("is_main")), ("others", ~F.col("is_main"))))
+    )
+    side = side.join(sizes, "key").withColumn("block", F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "others")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("others") - 1 + F.when(F.col("is_main"), 0).otherwise(F.col("mains")))
+    cells = side.withColumn("other", F.explode(every))
+    return cells.select("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "node", "comp", "block", (F.col("block") != F.col("other")).alias("two"))
+
+
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of a band that are in different components so far."""
-    now = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y").select("key", "n")
-    now = materialise(now.join(mixed, "key"), "mixed")
+    now = mixed_of(members, labels)
     few = now.filter(F.col("n") <= SMALL).select("key", F.col("key").alias("group"), "node", "comp")
     few = few.repartition("group").sortWithinPartitions("group").mapInArrow(_by_group(_small_pairs), "a bigint, b bigint").distinct()
     found = _confirmed(few, sets, percent)
-    many = now.filter(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    many = now.filter(F.col("n") > SMALL)
     if not many.isEmpty():
-        cells = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "node", "comp", "block", (F.col("block") != F.col("other")).alias("two"))
         # A cell of two blocks holds its members once: those of a block come from the rows of the other's number.
-        cells = cells.join(sets, "node").repartition("group").sortWithinPartitions("group", "key")
+        cells = cells_of(many).join(sets, "node").repartition("group").sortWithinPartitions("group", "key")
         found = found.union(cells.mapInArrow(_by_group(_block_links(percent)), "a bigint, b bigint"))
     return found
 
@@ -303,10 +328,10 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         digests = materialise(_digests(docs, size, seed), "digests")
         some = digests.filter(F.col("node").isNotNull())
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-        nodes = materialise(some.groupBy("node").agg(first, F.min("check").alias("x"), F.max("check").alias("y"), F.count("*").alias("n"), F.first("keys").alias("keys")), "nodes")
+        nodes = materialise(some.groupBy("node").agg(first, F.min("check").alias("x"), F.max("check").alias("y"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.max("n_shingles").alias("size")), "nodes")
         if nodes.filter("x <> y").isEmpty():  # else two different sets share a digest: other hashes
             break
-    bands = nodes.select("node", F.explode("keys").alias("key"))
+    bands = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").select("key", "hub")
     members = materialise(bands.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash")), "node")
@@ -335,17 +360,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each group of near-duplicates; documents without words all stay."""
+    """docs with one document of each group of near-duplicates; documents without words all stay.
+
+    Of several rows with the id that stays, the one whose text and then whose
+    whole row, as JSON, is the smallest stays.
+    """
     prepare(docs.sparkSession)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names that cannot clash
+    doc_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
     found = materialise(_classes(docs, shingle, round(100 * similarity)), "found")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_hash"))
+    same = doc_id.eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_hash"))
     few = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    kept = plain.join(F.broadcast(gone) if few else gone, same, "left_anti")
     again = found.filter("n_shingles > 0").groupBy("doc_id", "component_id").count().filter("count > 1").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     again = materialise(again.select(F.col("doc_id").alias("_again_id")), "again")
     if again.isEmpty():
-        return kept
+        return kept.toDF(*names)
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    twice = F.col("doc_id").eqNullSafe(F.col("_again_id"))
-    return kept.join(again, twice, "left_anti").union(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
+    twice = doc_id.eqNullSafe(F.col("_again_id"))
+    words = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    worded, rest = kept.filter(words), kept.filter(~words)
+    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(text, F.to_json(F.struct("*"))))
+    one = worded.join(again, twice, "left_semi").withColumn("_rank", first).filter("_rank = 1").drop("_rank")
+    return worded.join(again, twice, "left_anti").union(one).union(rest).toDF(*names)

@@ -4,6 +4,7 @@ import base64
 import collections
 import functools
 import hashlib
+import io
 import itertools
 import re
 import string
@@ -344,7 +345,7 @@ def test_line_dedup(spark, limit, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", limit)
     a, b = "a boilerplate line, that is", "another line of many sites"
     rows = [(5, f"{a}\nown\n\n{a}", "s1"), (2, f"x\n{a}\n{a}\n{b}", "s2"), (9, f"{a}\n{b}\nend", "s3"), (9, f"{a}\n{b}\nend", "s3"), (4, None, "s4"), (6, "", "s5"), (7, f"{b}", None), (None, f"{a}\nz", "s1"), (8, "é" * 70_000 + f"\n{a}", "s1")]
-    df = spark.createDataFrame([(*r, 1, "q") for r in rows], "doc_id bigint, text string, source string, line int, owner string")
+    df = spark.createDataFrame([(*r, 1, "q") for r in rows], "doc_id bigint, text string, source string, line int, owner string").withColumns({c: F.lit(1) for c in ("_id", "_hash", "_found", "_own", "c0")})
     got = linededup.remove_boilerplate(df, "source", min_sites=3, counts=True)
     key = lambda r: (str(r[0]), str(r[1]))
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(brute_lines(rows, 3, 16), key=key)
@@ -379,17 +380,41 @@ def test_warc_edges(spark):
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0), work_path(spark, "warc"))).count() == 0
 
 
-def test_members_inside_a_payload_are_passed_over(tmp_path):
+def test_members_inside_a_payload_are_passed_over(spark, tmp_path):
     inner = b"".join(warc.record(f"urn:inner:{k}", "http://i/", b"inner%d" % k, None) for k in range(3))
-    pack = zlib.compressobj(0, zlib.DEFLATED, 31)  # stored, so that the inner magic stands in the file
-    head = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:outer>\r\nContent-Length: %d\r\n\r\n" % len(inner)
-    outer = pack.compress(head + inner + b"\r\n\r\n") + pack.flush()
-    raw = outer + warc.record("urn:last", None, b"z", None)
+
+    def stored(name, payload):  # so that the inner magic stands in the file
+        pack = zlib.compressobj(0, zlib.DEFLATED, 31)
+        head = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%s>\r\nContent-Length: %d\r\n\r\n" % (name, len(payload))
+        return pack.compress(head + payload + b"\r\n\r\n") + pack.flush()
+
+    raw = stored(b"outer", inner) + warc.record("urn:mid", None, b"z", None) + stored(b"twice", stored(b"again", inner) + inner) + warc.record("urn:last", None, b"z", None)
     (tmp_path / "a.warc.gz").write_bytes(raw)
-    with open(tmp_path / "a.warc.gz", "rb") as file:
-        for step in (7, 50, 300, 10**6):
-            found = [h["warc-record-id"] for a in range(0, len(raw), step) for _, h, _ in warc.records_of_range(warc.Ranged(file, len(raw)), a, min(len(raw), a + step))]
-            assert [x for x in found if "inner" not in x] == ["<urn:outer>", "<urn:last>"]
+    manifest = spark.createDataFrame([(str(tmp_path / "a.warc.gz"), len(raw))], "path string, bytes bigint")
+    for step in (7, 50, 300, 10**6):
+        found = warc.read_archives(spark, manifest, step).orderBy("offset").collect()
+        assert [r.record_id for r in found] == ["urn:outer", "urn:mid", "urn:twice", "urn:last"]
+        assert warc.passed_over(spark, manifest, step).agg(F.sum("records"), F.sum("skipped")).first() == (4, 0)
+
+
+def test_damage_costs_no_valid_record(spark, tmp_path):
+    own = [warc.record(f"urn:{k}", f"http://a/{k}", b"payload %d " % k * 20, None) for k in range(10)]
+    bad = own[6][:60] + bytes([own[6][60] ^ 255]) + own[6][61:]
+    files = {
+        "middle": (b"".join(own[:6]) + bad + b"".join(own[7:]), {*range(10)} - {6}, len(bad)), "cut": (b"".join(own)[:-5], {*range(9)}, len(own[9]) - 5), "zeros": (b"".join(own) + bytes(20), {*range(10)}, 20),
+        "start": (b"junk" + warc.MAGIC + b"".join(own), {*range(10)}, 7), "none": (bytes(100), set(), 100), "other": (b"".join(own[:2]) + zlib.compress(b"x" * 99, wbits=31) + own[2], {0, 1, 2}, len(zlib.compress(b"x" * 99, wbits=31))),
+    }
+    for name, (raw, _, _) in files.items():
+        (tmp_path / name).write_bytes(raw)
+    manifest = spark.createDataFrame([(str(tmp_path / name), len(raw)) for name, (raw, _, _) in files.items()], "path string, bytes bigint")
+    for step in (7, 50, 300, 4 << 20):
+        got = collections.defaultdict(set)
+        rows = warc.read_archives(spark, manifest, step).collect()
+        for r in rows:
+            got[r.path.rpartition("/")[2]].add(int(r.record_id[4:]))
+        assert got == {name: ids for name, (_, ids, _) in files.items() if ids} and len(rows) == sum(len(ids) for _, ids, _ in files.values())
+        skipped = {r.path.rpartition("/")[2]: r.n for r in warc.passed_over(spark, manifest, step).groupBy("path").agg(F.sum("skipped").alias("n")).collect()}
+        assert skipped == {name: n for name, (_, _, n) in files.items()}
 
 
 # 6 quality
@@ -462,7 +487,9 @@ def test_terms_that_reveal_an_entity(spark):
     terms = {text[s.start:s.end] for s in found[1] if s.kind == "term"}
     assert "Zanzibar" in terms and "about" not in terms
     assert found[50] == [] and found[10] == []
-    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    clash = docs(spark, rows).withColumns({c: F.lit(1) for c in ("_id", "_hash", "_spans", "c0", "spans", "terms", "text_hash")})
+    clean = {r.doc_id: r.text for r in pii.sanitise(clash).collect()}
+    assert pii.sanitise(clash).columns == clash.columns
     assert "Zanzibar" not in clean[1] and "[EMAIL]" in clean[1] and clean[50] is None and clean[10] == dict(rows)[10]
     assert pii.find(docs(spark, rows).limit(0)).count() == 0
 
@@ -516,15 +543,20 @@ def test_automaton(items, column, window):
         assert (n, sum(z - a for a, z in hits), {auto.names[x] for x in found}) == brute_hits(text, named, window)
 
 
-@pytest.mark.parametrize("block", [512 << 10, 60])
-def test_decontamination(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "part", "broadcast"), [(512 << 10, 8192, 10), (60, 8192, 10), (60, 11, 0), (512 << 10, 10, 0)])
+def test_decontamination(spark, block, part, broadcast, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "PART_WORDS", part)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
     items = [(1, "One two three four five six seven eight nine ten eleven"), (2, "short item"), (3, None), (4, ""), (5, "..."), (2, "short item"), (10, "é ü")]
     rows = [(1, None), (2, ""), (3, "x ONE two three, four five six seven eight nine ten y"), (4, "a Short ITEM and é ü"), (4, "a Short ITEM and é ü"), (5, "one two three four five six seven eight nine"), (None, "short item"), (6, "pad " * 30_000 + "é ü")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.n_words, r.n_hit, tuple(sorted(r.item_ids))) for r in decontam.contamination(docs(spark, rows), bench).collect()}
     assert got == {(i, a, b, tuple(sorted(c))) for i, t in rows for a, b, c in [brute_hits(t, items, 10)]}
-    cut = {r.doc_id: r.text for r in decontam.remove_contamination(docs(spark, rows), bench, max_coverage=0.95).collect()}
+    clash = docs(spark, rows).withColumns({c: F.lit(7) for c in ("_id", "_hash", "_hits", "_items", "_words", "_longest", "0", "c1")})
+    kept = decontam.remove_contamination(clash, bench, max_coverage=0.95)
+    cut = {r.doc_id: r.text for r in kept.collect()}
+    assert kept.columns == clash.columns and {tuple(r[5:]) for r in kept.collect()} == {(7,) * 8}
     assert cut[3] == "x y" and cut[4] == "a and " and cut[1] is None and cut[5] == dict(rows)[5] and None not in cut
     assert decontam.contamination(docs(spark, rows).limit(0), bench).count() == 0
     assert {r.n_hit for r in decontam.contamination(docs(spark, rows), bench.limit(0)).collect()} == {0}
@@ -565,13 +597,34 @@ def test_media_query(spark):
         assert row.media_bytes == row.payload_bytes + len(f"P5\n64 {len(padded) // 64}\n255\n")
 
 
+def test_stored_tiles_and_features_equal_brute_force(spark):
+    rows = [(k, "".join(map(chr, np.random.default_rng(k).integers(32, 500, 150 * k)))) for k in range(8)] + [(8, None), (9, "same"), (10, "same")]
+    got = {r.doc_id: r for r in media.stored_media(docs(spark, rows)).collect()}
+    assert got[9][1:] == got[10][1:]
+    for i, text in rows:
+        raw = (text or "").encode()
+        x = np.frombuffer(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)), np.uint8).reshape(-1, 64).astype(float)
+        means = lambda a, b: np.kron(x, np.ones((a, b))).reshape(a, x.shape[0], b, 64).mean(axis=(1, 3))  # noqa: E731, B023
+        small = np.round(means(8, 9), 6)
+        assert got[i].feature == f"{int(''.join(str(int(small[r, c + 1] > small[r, c])) for r in range(8) for c in range(8)), 2):016x}"
+        out = io.BytesIO()
+        np.save(out, np.ascontiguousarray(np.rint(np.round(means(32, 32), 6)), dtype=np.uint8))
+        assert (got[i].tile_bytes, got[i].tile_sha256) == (len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())
+
+
 def test_media_edges(spark):
     rows = [(1, None), (2, ""), (3, "x" * 5_000_000), (3, "x" * 5_000_000), (None, "é")]
-    got = media.media_digests(media.text_media(docs(spark, rows))).collect()
+    clash = docs(spark, rows).withColumn("media", F.lit(1)).withColumn("tile", F.lit("t"))
+    got = media.stored_media(clash).collect()
     assert len(got) == 5 and len({r.media_sha256 for r in got if r.n_bytes == 0}) == 1
-    images = spark.createDataFrame([(1, bytearray(media.encode_bmp(np.zeros((4, 4), np.uint8)))), (2, bytearray(b"junk")), (3, None), (4, bytearray(b"P5\n9"))], "i bigint, c binary")
+    assert media.stored_media(docs(spark, [])).count() == 0
+    bmp = media.encode_bmp(np.full((4, 4), 200, np.uint8))
+    short = bmp[:10] + (54 + 4 * 10).to_bytes(4, "little") + bmp[14:54 + 4 * 10] + bmp[-16:]
+    bad = [b"junk", None, b"P5\n9", short, b"P2\n1 1\n255\n" + b"9" * 40, b"P5\n" + b"9" * 30 + b" 2\n255\nx", b"P5\n-1 2\n255\nxxxx", b"BM", bmp[:60], b"P2\n1 1\n255\nx", b"P6\n1 1\n"]
+    images = spark.createDataFrame([(1, bytearray(bmp), 5), *((k, x and bytearray(x), 5) for k, x in enumerate(bad, 2))], "i bigint, c binary, width int")
     got = {r.i: r for r in media.media_columns(images, "i", "c").collect()}
-    assert got[1].width == 4 and got[1].tile[:6] == b"\x93NUMPY" and [got[k].feature for k in (2, 3, 4)] == [None] * 3
+    assert got[1].width == 4 and got[1].tile[:6] == b"\x93NUMPY" and len(got) == len(bad) + 1
+    assert {(got[k].width, got[k].tile, got[k].feature) for k in got if k > 1} == {(None, None, None)}
 
 
 # 10 near-duplicates
@@ -627,6 +680,42 @@ def test_a_family_of_near_copies(spark, sizes, monkeypatch):
     assert neardup.near_duplicates(docs(spark, []), 2).count() == 0
 
 
+def band_of(spark, counts, n_words=60):
+    """Sets of a band that is not similar enough to be linked, in components of these sizes."""
+    rng = np.random.default_rng(8)
+    rows = [(k, comp, np.unique(rng.integers(0, 2**64, n_words, dtype=np.uint64))) for comp, k in enumerate(range(sum(counts)))]
+    comps = np.repeat(np.arange(len(counts)), counts)
+    key = 77
+    members = spark.createDataFrame([(key, k, len(x)) for k, _, x in rows], "key bigint, node bigint, size bigint")
+    labels = spark.createDataFrame([(k, -1 - int(c)) for (k, _, _), c in zip(rows, comps)], "node bigint, comp bigint")
+    keys = np.zeros(neardup.BANDS, dtype=np.uint64)
+    keys[0] = key
+    sets = spark.createDataFrame([(k, bytearray(x.tobytes()), bytearray(neardup.sketch(x).tobytes()), bytearray(keys.tobytes())) for k, _, x in rows], "node bigint, items binary, sketch binary, keys binary")
+    return members, labels, sets
+
+
+def test_one_member_in_another_component_does_not_multiply_a_large_band(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    for n in (100, 400, 1600):
+        members, labels, sets = band_of(spark, [n, 1])
+        cells = neardup.cells_of(neardup.mixed_of(members, labels))
+        assert cells.count() == n + 1 + -(-n // 16)  # once each, and the one with itself and for every block of the others
+        assert neardup._rest(members, labels, sets, 80).count() == 0
+    monkeypatch.setattr(neardup, "BLOCK", 512)
+    monkeypatch.setattr(neardup, "CELL_BYTES", 16 * 60 * 8)
+    members, labels, sets = band_of(spark, [100, 1])
+    assert neardup.cells_of(neardup.mixed_of(members, labels)).count() == 100 + 1 + 7
+
+
+def test_one_of_repeated_rows_stays_whatever_their_order(spark):
+    rows = [(1, "a b c d e f g", 2), (1, "a b c d e f g", 1), (1, "", 5), (2, "a b c d e f g", 0), (3, None, 4), (3, None, 4)]
+    for order in (rows, rows[::-1]):
+        clash = spark.createDataFrame(order, "doc_id bigint, text string, _gone_id int").withColumn("_again_id", F.lit("x")).withColumn("_gone_hash", F.lit(0))
+        kept = neardup.deduplicate(clash)
+        assert kept.columns == clash.columns
+        assert sorted((r[0], r[1] or "", r[2]) for r in kept.collect()) == [(1, "", 5), (1, "a b c d e f g", 1), (3, "", 4), (3, "", 4)]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r.node: r.comp for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
