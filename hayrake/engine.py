@@ -67,8 +67,9 @@ class Engine:
         """A view of the active generation; searches use it until the next one is complete."""
         self.chunks, self.vectors = self.store.chunks, self.store.vectors.join(self.store.chunks.select("row_id", "live"), "row_id")
         self.index = lexical.build(self.chunks)
-        if self.index.n != self.chunks.filter("live").count():
-            raise LexicalOutOfSync("the lexical index and the store differ")
+        indexed, live = self.index.postings.select("row_id").distinct(), self.chunks.filter("live").select("row_id")
+        if not indexed.join(live, "row_id", "left_anti").isEmpty():
+            raise LexicalOutOfSync("the lexical index has rows that the store has not")
 
     def search_many(self, queries: list[str], top_k: int = 5, config: Fusion = Fusion()) -> tuple[DataFrame, search.Diagnostics]:
         for q in queries:
@@ -84,7 +85,7 @@ class Engine:
     def find_similar_code(self, code: str, top_k: int = 5) -> DataFrame:
         check_query(code, top_k, MOST_CODE, "code")
         asked = self.spark.createDataFrame([(0, self.embedder.embed([code], "document")[0].tolist())], "query_id bigint, query_vector array<double>")
-        return search.similar(self.chunks, self.vectors, asked, top_k).orderBy("rank")
+        return search.similar(self.chunks, self.vectors, asked, top_k)[0].orderBy("rank")
 
     def get_symbol(self, file: str, symbol: str) -> dict:
         if not file or not symbol:

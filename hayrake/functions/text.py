@@ -30,15 +30,36 @@ def blank_words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
+def marked_words(text: Column) -> Column:
+    """Words between white space, lower-case, as `terms_of_word` takes them.
+
+    Parts are set off over the whole text, by a handful of expressions
+    whatever the number of words: \x01 stands between parts, \x02 for other
+    characters, which are left out about a word of one part.
+    """
+    marked = F.regexp_replace(text, r"[^A-Za-z0-9_\s-]+", "\x02")
+    marked = F.regexp_replace(marked, "([A-Z])([A-Z][a-z])", "$1\x01$2")
+    marked = F.regexp_replace(marked, "([a-z])([A-Z])", "$1\x01$2")
+    marked = F.regexp_replace(marked, r"(?<!\S)\x02?([A-Za-z0-9]++)\x02?(?!\S)", "$1")
+    return F.filter(F.split(F.lower(marked), r"\s+"), lambda x: x != "")
+
+
+def terms_of_word(word: Column) -> Column:
+    """The terms of a word of `marked_words`, as `split_identifier` finds them."""
+    plain = F.when(F.contains(word, F.lit("\x02")), F.expr("cast(array() as array<string>)")).otherwise(F.array(F.replace(word, F.lit("\x01"), F.lit(""))))
+    parts = F.array_distinct(F.filter(F.concat(plain, F.split(word, "[\x01\x02_-]+")), lambda x: x != ""))
+    return F.when(word.rlike("^[a-z0-9]+$"), F.array(word)).otherwise(parts)
+
+
 def code_tokens(text: Column) -> Column:
     """Terms of a text in order; parts of one word follow each other, repeats over words stay."""
-    return F.flatten(F.transform(blank_words(text), split_identifier))
+    return F.flatten(F.transform(marked_words(text), terms_of_word))
 
 
 def token_positions(text: Column) -> Column:
-    """Array of (term, position): the parts of a word share its position."""
-    parts = F.transform(blank_words(text), lambda w, i: F.transform(split_identifier(w), lambda t: F.struct(t.alias("term"), i.alias("position"))))
-    return F.flatten(parts)
+    """Array of (term, position): the parts of a word share its position; words without terms have none."""
+    words = F.filter(F.transform(marked_words(text), terms_of_word), lambda x: F.size(x) > 0)
+    return F.flatten(F.transform(words, lambda x, i: F.transform(x, lambda t: F.struct(t.alias("term"), i.alias("position")))))
 
 
 def query_terms(text: Column) -> Column:
@@ -46,18 +67,21 @@ def query_terms(text: Column) -> Column:
 
 
 def normalise_body(text: Column) -> Column:
-    """Line ends unified, trailing blanks and outer blank lines cut, the common indent taken off."""
+    """Line ends unified, trailing blanks and outer blank lines cut, the common indent taken off.
+
+    All by expressions over the whole text, linear in its length.
+    """
     unified = F.regexp_replace(text, "\r\n?", "\n")
-    lines = F.transform(F.split(unified, "\n"), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    inner = F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
-    lines = F.split(inner, "\n")
-    indent = F.coalesce(F.array_min(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.length(F.regexp_extract(x, "^[ \\t]*", 0)))), F.lit(0))
-    return F.array_join(F.transform(lines, lambda x: F.substring(x, indent + 1, F.length(x))), "\n")
+    inner = F.trim(F.regexp_replace(unified, r"(?<![ \t\x0B\f])[ \t\x0B\f]++(?=\n|\z)", ""), F.lit("\n"))
+    indents = F.regexp_extract_all(F.translate(inner, "\t", " "), F.lit(r"(?<![^\n])( *+)[^\n]"), 1)  # blanks only, so the least is the shortest
+    indent = F.coalesce(F.length(F.array_min(indents)), F.lit(0)).cast("string")
+    return F.regexp_replace(inner, F.concat(F.lit(r"(?<![^\n])[ \t]{"), indent, F.lit("}")), F.lit(""))
 
 
 def content_hash(language: Column, symbol: Column, body: Column) -> Column:
-    """Digest of language, symbol and normalised body; the path plays no part."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(str(HASH_SCHEME)), language, symbol, normalise_body(body)), 256)
+    """Digest of language, symbol and normalised body (null: empty); the path plays no part."""
+    fields = [F.lit(str(HASH_SCHEME)), language, symbol, normalise_body(body)]
+    return F.sha2(F.concat_ws("\x1f", *(F.coalesce(f, F.lit("")) for f in fields)), 256)
 
 
 def preview(body: Column) -> Column:

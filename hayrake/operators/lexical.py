@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hayrake.functions.text import code_tokens, query_terms
+from hayrake.functions.text import marked_words, query_terms, terms_of_word
 from hayrake.session import materialise
 
 K1, B = 1.2, 0.75
@@ -46,10 +46,16 @@ def fields_of(chunks: DataFrame, fields: list[str]) -> DataFrame:
     return chunks.select("row_id", F.explode(pairs).alias("x")).select("row_id", "x.field", "x.text").filter("text is not null")
 
 
+def term_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """The other columns, term and tf. The words of a row are counted before they are split, each once."""
+    keys = [c for c in texts.columns if c != text_col]
+    words = texts.select(*keys, F.explode(marked_words(F.col(text_col))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    return words.select(*keys, "n", F.explode(terms_of_word(F.col("word"))).alias("term")).groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
+
+
 def postings(chunks: DataFrame, fields: list[str]) -> DataFrame:
     """field, term, row_id, tf and dl (all tokens of that field of the row)."""
-    tokens = fields_of(chunks, fields).select("row_id", "field", F.explode(code_tokens(F.col("text"))).alias("term"))
-    counted = tokens.groupBy("row_id", "field", "term").agg(F.count("*").alias("tf"))
+    counted = term_counts(fields_of(chunks, fields), "text")
     return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("row_id", "field")))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
-from hayrake.errors import SearchFailed
+from hayrake.errors import HayrakeError, SearchFailed
 from hayrake.operators import dense, lexical
 from hayrake.operators.fusion import Fusion, assemble, fuse
 from hayrake.session import materialise
@@ -26,32 +27,38 @@ def _empty(df: DataFrame) -> DataFrame:
 
 
 def candidates(index: lexical.Index | None, vectors: DataFrame | None, queries: DataFrame, config: Fusion = Fusion()) -> tuple[DataFrame, DataFrame, Diagnostics]:
-    """Both candidate lists. If one retriever fails the other's list stands alone; if both fail, so does the search."""
-    told = Diagnostics()
-    found = []
+    """Both candidate lists.
+
+    If one retriever fails by an error of this package the other's list
+    stands alone, and the diagnostics say so; if all that were asked fail, so
+    does the search. Other errors, such as lost executors, are raised.
+    """
+    told, asked, found = Diagnostics(), 0, []
     for name, ask in (
         ("lexical", lambda: lexical.search(index, queries.select("query_id", "query"), config.lexical_depth) if index is not None and config.lexical_depth else None),
         ("dense", lambda: dense.search(vectors, queries.select("query_id", "query_vector").filter("query_vector is not null"), config.dense_depth) if vectors is not None and config.dense_depth else None),
     ):
         try:
             got = ask()
+            asked += got is not None
             found.append(_empty(queries) if got is None else materialise(got, name))
-        except Exception as error:  # noqa: BLE001  the other retriever can still answer
+        except (HayrakeError, AnalysisException) as error:
+            asked += 1
             setattr(told, f"{name}_ok", False)
             told.errors[name] = str(error).splitlines()[0]
             found.append(_empty(queries))
-    if not told.lexical_ok and not told.dense_ok:
+    if told.errors and len(told.errors) == asked:
         raise SearchFailed("; ".join(f"{k}: {v}" for k, v in told.errors.items()))
     return found[0], found[1], told
 
 
-def hybrid(index: lexical.Index, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 5, config: Fusion = Fusion()) -> DataFrame:
-    """Results of all queries (query_id, query, query_vector)."""
-    by_terms, by_vector, _ = candidates(index, vectors, queries, config)
-    return assemble(fuse(by_terms, by_vector, config), chunks, top_k)
+def hybrid(index: lexical.Index, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 5, config: Fusion = Fusion()) -> tuple[DataFrame, Diagnostics]:
+    """Results of all queries (query_id, query, query_vector), and which retrievers answered."""
+    by_terms, by_vector, told = candidates(index, vectors, queries, config)
+    return assemble(fuse(by_terms, by_vector, config), chunks, top_k), told
 
 
-def similar(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 5, config: Fusion = Fusion()) -> DataFrame:
+def similar(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 5, config: Fusion = Fusion()) -> tuple[DataFrame, Diagnostics]:
     """Dense candidates alone, for snippets that were embedded as documents (query_id, query_vector)."""
-    _, by_vector, _ = candidates(None, vectors, queries, config)
-    return assemble(fuse(_empty(queries), by_vector, config), chunks, top_k)
+    _, by_vector, told = candidates(None, vectors, queries, config)
+    return assemble(fuse(_empty(queries), by_vector, config), chunks, top_k), told

@@ -6,7 +6,6 @@ benchmark items as queries, whose vector is that of the same number.
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,8 +59,8 @@ def _ranked(df: DataFrame, decimals: int) -> DataFrame:
 # Text
 
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.code_tokens(F.col("text"))).alias("term"))
-    return d.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_distinct("term").alias("terms"))
+    counted = lexical.term_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return counted.groupBy("doc_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("terms"))
 
 
 def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +143,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.similar(chunks(spark, sf_dir), vector_table(spark, sf_dir), every_50th(spark, sf_dir), 10)
+    found, _ = search.similar(chunks(spark, sf_dir), vector_table(spark, sf_dir), every_50th(spark, sf_dir), 10)
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "file", F.round("dense_score", 6).alias("dense_score"), F.round("fused_score", 9).alias("fused_score"))
 
 

@@ -60,6 +60,11 @@ def test_identifiers(spark):
         "Tracker::update": "tracker update", "sha256": "sha256", "read_utf8_bom": "read_utf8_bom read utf8 bom", "EAGAIN": "eagain", "Iechä.": "iech", "!!!": "", "": "",
     }
     assert [" ".join(x) for x in ask(spark, text.split_identifier, *want)] == list(want.values())
+    got = ask(spark, text.token_positions, "a -> b")[0]
+    assert [(x.term, x.position) for x in got] == [("a", 0), ("b", 1)]
+    odd = ["parseHTTPResponse next", "a -> b", "-- _ _a a_ foo_barBaz, foo_barBaz x.y.z (Foo) FooBar. 3dModel AABb HTTPServer2Go é fooé ÉfooBar \x01a\x02 a\x01b", "", " \t\n ", None, "don't -- stop-it_now ***", "XMLHttpRequest(aB,cD)"]
+    plain = ask(spark, lambda t: F.flatten(F.transform(text.blank_words(t), text.split_identifier)), *odd)
+    assert ask(spark, text.code_tokens, *odd) == plain
     got = ask(spark, text.token_positions, "parseHTTPResponse next")[0]
     assert [(x.term, x.position) for x in got] == [("parsehttpresponse", 0), ("parse", 0), ("http", 0), ("response", 0), ("next", 1)]
 
@@ -67,6 +72,21 @@ def test_identifiers(spark):
 def test_normalised_bodies(spark):
     one, two, three, four = ask(spark, text.normalise_body, "\r\n\n    a  \r\n\n      b\t\n\n", "    a\n\n      b", "", " \n\t\n")
     assert one == two == "a\n\n  b" and three == four == ""
+    assert ask(spark, text.normalise_body, "\t x\n \t y\n\n\t  z", "  a\rb", None, " \x0b\n  é \x0bq\n") == ["x\n y\n\n z", "  a\nb", None, "é \x0bq"]
+    digest = spark.createDataFrame([(None, "a", "b"), ("a", None, "b"), ("a", "b", None)], "l string, s string, b string").select(text.content_hash(F.col("l"), F.col("s"), F.col("b")).alias("h"))
+    assert digest.distinct().count() == 3
+
+
+def test_normalising_is_linear(spark):
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        began = time.perf_counter()
+        (row,) = ask(spark, text.normalise_body, "".join(f"    line {k} {' ' * 50} x   \n" for k in range(n)) + " " * n + "x")
+        took.append(time.perf_counter() - began)
+        assert row.count("\n") == n
+    assert took[1] < 10
 
 
 def test_previews(spark):
@@ -199,6 +219,8 @@ def test_degradation(spark):
     assert (told.lexical_ok, told.dense_ok, a.count(), b.count()) == (False, True, 0, 1)
     with pytest.raises(errors.SearchFailed):
         search.candidates(broken, v.withColumn("vector", F.lit("x")), q)
+    with pytest.raises(errors.SearchFailed):
+        search.similar(v, v, q.withColumn("query_vector", F.array(F.lit(1.0), F.lit(2.0))))
 
 
 def test_results_keep_absent_scores(spark):
