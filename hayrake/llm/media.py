@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hayrake.session import materialise, prepare
+from hayrake.session import prepare, work_path
 
 TILE = 32
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
@@ -186,13 +186,20 @@ def text_media(docs: DataFrame, width: int = 64) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back, compressed by zstd: images and tiles are most of the bytes."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored_media(docs: DataFrame, width: int = 64) -> DataFrame:
     """Digests of the texts' images and tiles, both written to the shared folder and read back.
 
     The columns of `media_digests`, with tile_bytes and tile_sha256 for the tile.
     """
-    media = materialise(text_media(docs, width), "media")
-    tiles = materialise(media_digests(media), "tiles")
+    media = _written(text_media(docs, width), "media")
+    tiles = _written(media_digests(media), "tiles")
     return tiles.select(*[c for c in tiles.columns if c != "tile"], F.octet_length("tile").cast("bigint").alias("tile_bytes"), F.sha2("tile", 256).alias("tile_sha256"))
 
 
