@@ -39,6 +39,8 @@ def scores_sql(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array, dims: int | None) -> np.ndarray:
+    if not pa.types.is_list(column.type) and not pa.types.is_large_list(column.type):
+        raise DimensionMismatch("vectors are not lists of numbers")
     if not len(column):
         return np.zeros((0, dims or 0))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -58,7 +60,7 @@ def _best(vectors: DataFrame, ids: list, matrix: np.ndarray, limit: int) -> Data
             if not len(batch):
                 continue
             rows = batch.column(0).to_numpy()
-            # einsum adds in the order of the elements, so scores do not depend on the batch
+            # the order of summation may depend on the batch, so scores are rounded before they are ranked
             got = np.round(np.einsum("vd,qd->qv", _matrix(batch.column(1), matrix.shape[1]), matrix, optimize=len(ids) * len(rows) > 200_000), DECIMALS)
             if not np.isfinite(got).all():
                 raise NonFiniteScore(f"row {rows[int(np.argwhere(~np.isfinite(got))[0][1])]} has a score that is not finite")

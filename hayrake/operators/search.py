@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 
 from hayrake.errors import HayrakeError, SearchFailed
@@ -26,6 +26,14 @@ def _empty(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], _EMPTY)
 
 
+def _own_error(error: Exception) -> str | None:
+    """What an error of this package, raised here or in a task, or of an unfit table says; None for others."""
+    lines = str(error).splitlines() or [""]
+    if isinstance(error, (HayrakeError, AnalysisException)):
+        return lines[0]
+    return next((x.strip() for x in lines if x.strip().startswith("hayrake.errors.")), None)
+
+
 def candidates(index: lexical.Index | None, vectors: DataFrame | None, queries: DataFrame, config: Fusion = Fusion()) -> tuple[DataFrame, DataFrame, Diagnostics]:
     """Both candidate lists.
 
@@ -40,12 +48,15 @@ def candidates(index: lexical.Index | None, vectors: DataFrame | None, queries:
     ):
         try:
             got = ask()
-            asked += got is not None
             found.append(_empty(queries) if got is None else materialise(got, name))
-        except (HayrakeError, AnalysisException) as error:
+            asked += got is not None
+        except (HayrakeError, PySparkException) as error:
+            said = _own_error(error)
+            if said is None:
+                raise
             asked += 1
             setattr(told, f"{name}_ok", False)
-            told.errors[name] = str(error).splitlines()[0]
+            told.errors[name] = said
             found.append(_empty(queries))
     if told.errors and len(told.errors) == asked:
         raise SearchFailed("; ".join(f"{k}: {v}" for k, v in told.errors.items()))
