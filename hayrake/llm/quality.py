@@ -6,13 +6,16 @@ evidence of unlabelled documents, are summed by host and path over all
 documents; a host's rate is shrunk towards the global one and a path's towards
 its host's, the more the fewer documents it has. The strength of each
 shrinkage is estimated from the spread of the rates. A document's logit is
-moved by how far its path's posterior is from the global rate.
+moved by how far its path's posterior is from the global rate, where that
+posterior is the one of all other documents: its own label and evidence are
+left out, so a document moves others and never itself.
 
 The classifier is fitted on a bounded sample of labelled documents. Defined
 results: null and empty texts have the features of an empty text; a null host
 or path is a level of its own; several labels of one document are averaged;
 without labels, or with labels of one class only, the global rate decides;
-repeated rows are judged alike; an empty table gives an empty result.
+repeated rows are judged alike, each by all rows but itself; a document alone
+at its site has the global rate there; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -118,7 +121,11 @@ def strength(groups: DataFrame, prior: str) -> float:
 
 
 def judge(docs: DataFrame, labels: DataFrame, host_col: str, path_col: str, label_col: str = "quality", threshold: float = THRESHOLD, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """doc_id, host, path, p_document, p_host, p_path, p_quality and kept of each document."""
+    """doc_id, host, path, p_document, p_host, p_path, p_others, p_quality and kept of each document.
+
+    p_host and p_path are the posteriors of its host and path; p_others is
+    p_path without the document itself, and the one that moves p_quality.
+    """
     spark = prepare(docs.sparkSession)
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.avg(F.col(label_col).cast("double")).alias("label"))
     labels = materialise(labels, "labels")
@@ -132,20 +139,24 @@ def judge(docs: DataFrame, labels: DataFrame, host_col: str, path_col: str, labe
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shared.value(x), pa.float64())], ["doc_id", "host", "path", "p_document"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = materialise(narrow.mapInArrow(run, f"doc_id {kind}, host string, path string, p_document double"), "scored")
+    scored = narrow.mapInArrow(run, f"doc_id {kind}, host string, path string, p_document double").join(labels, "doc_id", "left")
     weight = F.when(F.col("label").isNotNull(), 1.0).otherwise(UNLABELLED)
-    paths = scored.join(labels, "doc_id", "left").groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(weight * F.coalesce("label", "p_document")).alias("a"))
-    paths = materialise(paths, "paths")
+    scored = scored.withColumn("w", weight).withColumn("e", F.col("w") * F.coalesce("label", "p_document")).drop("label")
+    scored = materialise(scored, "scored")
+    paths = materialise(scored.groupBy("host", "path").agg(F.sum("w").alias("n"), F.sum("e").alias("a")), "paths")
     all_ = paths.agg(F.sum("n").alias("n"), F.sum("a").alias("a")).first()
     rate = min(1 - 1e-6, max(1e-6, (all_.a + 0.5) / (all_.n + 1))) if all_.n else 0.5
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).withColumn("rate", F.lit(rate))
-    k = strength(hosts, "rate")
-    hosts = hosts.select("host", ((F.col("a") + k * rate) / (F.col("n") + k)).alias("p_host"))
-    below = materialise(paths.join(hosts, "host"), "sites")
-    k = strength(below, "p_host")
-    sites = below.select("host", "path", "p_host", ((F.col("a") + k * F.col("p_host")) / (F.col("n") + k)).alias("p_path"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n_host"), F.sum("a").alias("a_host"))
+    of_hosts = strength(hosts.select(F.col("n_host").alias("n"), F.col("a_host").alias("a"), F.lit(rate).alias("rate")), "rate")
+    shrunk = lambda a, n, k, prior: (a + k * prior) / (n + k)
+    sites = materialise(paths.join(hosts, "host").withColumn("p_host", shrunk(F.col("a_host"), F.col("n_host"), of_hosts, rate)), "sites")
+    of_paths = strength(sites, "p_host")
+    sites = sites.withColumn("p_path", shrunk(F.col("a"), F.col("n"), of_paths, F.col("p_host")))
     sites = F.broadcast(sites) if sites.count() <= BROADCAST_ROWS else sites
     logit = lambda c: F.log(F.greatest(F.lit(1e-6), c) / F.greatest(F.lit(1e-6), 1 - c))
-    moved = logit(F.col("p_document")) + logit(F.col("p_path")) - float(np.log(rate / (1 - rate)))
-    out = scored.join(sites, ["host", "path"]).withColumn("p_quality", 1 / (1 + F.exp(-moved)))
-    return out.select("doc_id", "host", "path", "p_document", "p_host", "p_path", "p_quality", (F.col("p_quality") >= threshold).alias("kept"))
+    others = lambda c, own: F.greatest(F.lit(0.0), F.col(c) - F.col(own))
+    host = shrunk(others("a_host", "e"), others("n_host", "w"), of_hosts, rate)
+    out = scored.join(sites, ["host", "path"]).withColumn("p_others", shrunk(others("a", "e"), others("n", "w"), of_paths, host))
+    moved = logit(F.col("p_document")) + logit(F.col("p_others")) - float(np.log(rate / (1 - rate)))
+    out = out.withColumn("p_quality", 1 / (1 + F.exp(-moved)))
+    return out.select("doc_id", "host", "path", "p_document", "p_host", "p_path", "p_others", "p_quality", (F.col("p_quality") >= threshold).alias("kept"))

@@ -440,6 +440,59 @@ def test_sparse_sites_shrink_to_the_global_rate(spark):
     assert quality.judge(d, labels.limit(0), "host", "path").count() == 212
 
 
+def test_quality_against_plain_loops(spark):
+    """Rates, and what moves a document, by loops over all rows; columns with the names of helper columns do no harm."""
+    text = lambda k: None if k % 17 == 0 else "" if k % 19 == 0 else "Plain words, and more of them. " * (k % 7 + 1) if k % 3 else "BUY!!! $$$ | NOW | " * (k % 5 + 1)
+    rows = [(k, text(k), None if k % 31 == 0 else f"h{min(k % 9, 4)}", f"p{k % 4}", k, float(k), "x", 0.5) for k in range(240)]
+    rows += [rows[3], rows[3], (None, "Some text.", "h1", "p1", 0, 0.0, "y", 0.1), (999, "Alone here.", "only", "one", 0, 0.0, "y", 0.1)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, host string, path string, n bigint, w double, label string, p_others double")
+    marks = [(k, int(k % 3 != 0)) for k in range(0, 240, 2)] + [(4, 0), (None, 1), (7, None)]
+    got = quality.judge(d, spark.createDataFrame(marks, "doc_id bigint, quality int"), "host", "path").collect()
+    assert len(got) == len(rows)
+    own = collections.defaultdict(list)
+    for k, q in marks:
+        if k is not None and q is not None:
+            own[k].append(q)
+    seen = []
+    for r in got:
+        label = float(np.mean(own[r.doc_id])) if r.doc_id in own else None
+        seen.append((r, 1.0, label) if label is not None else (r, quality.UNLABELLED, quality.UNLABELLED * r.p_document))
+    total = lambda keep: (sum(w for r, w, _ in seen if keep(r)), sum(e for r, _, e in seen if keep(r)))
+    n, a = total(lambda r: True)
+    rate = (a + 0.5) / (n + 1)
+
+    def strength(groups):
+        n, k = sum(g[0] for g in groups), len(groups)
+        noise = sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n
+        excess = sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) / n - noise * k / n
+        return min(1e6, max(1.0, noise / excess - 1)) if excess > 1e-12 else 1e6
+
+    hosts = {h: total(lambda r, h=h: r.host == h) for h in {r.host for r in got}}
+    kh = strength([(*v, rate) for v in hosts.values()])
+    p_host = {h: (a + kh * rate) / (n + kh) for h, (n, a) in hosts.items()}
+    sites = {s: total(lambda r, s=s: (r.host, r.path) == s) for s in {(r.host, r.path) for r in got}}
+    kp = strength([(*v, p_host[s[0]]) for s, v in sites.items()])
+    logit = lambda p: np.log(max(1e-6, p) / max(1e-6, 1 - p))
+    for r, w, e in seen:
+        (hn, ha), (sn, sa) = hosts[r.host], sites[r.host, r.path]
+        assert abs(r.p_host - p_host[r.host]) < 1e-9
+        assert abs(r.p_path - (sa + kp * p_host[r.host]) / (sn + kp)) < 1e-9
+        others = (sa - e + kp * (ha - e + kh * rate) / (hn - w + kh)) / (sn - w + kp)
+        assert abs(r.p_others - others) < 1e-9
+        want = 1 / (1 + np.exp(-(logit(r.p_document) + logit(others) - logit(rate))))
+        assert abs(r.p_quality - want) < 1e-9 and (r.kept == (r.p_quality >= quality.THRESHOLD))
+    alone = next(r for r in got if r.doc_id == 999)
+    assert abs(alone.p_others - rate) < 1e-9
+
+
+def test_own_label_does_not_judge_its_document(spark):
+    """Two documents alike in text and site, whose labels differ, are judged by each other's label."""
+    d = spark.createDataFrame([(k, "Same words of text.", "a" if k < 2 else f"h{k}", "p") for k in range(60)], "doc_id bigint, text string, host string, path string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)] + [(k, k % 2) for k in range(2, 60)], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality.judge(d, labels, "host", "path").collect()}
+    assert got[0].p_path == got[1].p_path and got[0].p_others < got[1].p_others and got[0].p_quality < got[1].p_quality
+
+
 # 7 PII
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
