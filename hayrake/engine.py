@@ -18,7 +18,7 @@ from hayrake.operators import lexical, search
 from hayrake.operators.chunks import chunk_files
 from hayrake.operators.fusion import Fusion, assemble, fuse
 from hayrake.operators.lookup import symbol_lookup
-from hayrake.operators.store import Store, change_work
+from hayrake.operators.store import Store, change_work, changed_rows
 from hayrake.session import prepare
 from hayrake.sources import files as file_source
 from hayrake.sources import git
@@ -61,12 +61,20 @@ class Engine:
         self.spark, self.store, self.embedder = prepare(spark), store, embedder
         self.progress = progress or (lambda stage: None)
         self.indexing, self.started = False, time.time()
+        self.index: lexical.Index | None = None
         self._load()
 
     def _load(self) -> None:
-        """A view of the active generation; searches use it until the next one is complete."""
+        """A view of the active generation; searches use it until the next one is complete.
+
+        Once there is an index, only rows that changed since are split into terms.
+        """
+        before = self.chunks if self.index else None
         self.chunks, self.vectors = self.store.chunks, self.store.vectors.join(self.store.chunks.select("row_id", "live"), "row_id")
-        self.index = lexical.build(self.chunks)
+        if before is None:
+            self.index = lexical.build(self.chunks)
+        else:
+            self.index = lexical.upsert(self.index, *changed_rows(before, self.chunks, list(lexical.BOOSTS)))
         indexed, live = self.index.postings.select("row_id").distinct(), self.chunks.filter("live").select("row_id")
         if not indexed.join(live, "row_id", "left_anti").isEmpty():
             raise LexicalOutOfSync("the lexical index has rows that the store has not")

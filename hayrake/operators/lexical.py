@@ -4,6 +4,11 @@ postings: field, term, row_id, tf, dl. Statistics: documents by (field,
 term), their number, and the average length of each field over all of them.
 Only terms of the queries are joined, so a scan of postings that are stored
 by term reads a part; the sum is one shuffle by (query, row).
+
+An index is kept up by `upsert` (rows written anew, rows that leave) and
+`renumber` (compaction): only texts of changed rows are split into terms, and
+the statistics are counted again from the postings. The index handed in is
+not touched, so searches go on with it until the new one takes its place.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ class Index:
     documents: DataFrame
     lengths: DataFrame
     n: int
+    rows: DataFrame | None = None
 
     def postings_of(self, terms: DataFrame) -> DataFrame:
         return self.postings.join(bounded(terms), "term")
@@ -59,16 +65,44 @@ def postings(chunks: DataFrame, fields: list[str]) -> DataFrame:
     return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("row_id", "field")))
 
 
-def build(chunks: DataFrame, boosts: dict[str, float] | None = None) -> Index:
-    """The index of live chunks (all rows, if there is no column live)."""
-    if "live" in chunks.columns:
-        chunks = chunks.filter("live")
-    fields = list(boosts or BOOSTS)
-    found = materialise(postings(chunks, [f for f in fields if f in chunks.columns]), "postings")
-    n = chunks.select("row_id").count()
+def _index(found: DataFrame, rows: DataFrame) -> Index:
+    n = rows.count()
     documents = found.groupBy("field", "term").agg(F.count("*").alias("df"))
     lengths = found.groupBy("field").agg((F.sum("tf") / F.lit(float(max(n, 1)))).alias("avgdl"))
-    return Index(found, documents, lengths, n)
+    return Index(found, documents, lengths, n, rows)
+
+
+def _live(chunks: DataFrame) -> DataFrame:
+    return chunks.filter("live") if "live" in chunks.columns else chunks
+
+
+def build(chunks: DataFrame, boosts: dict[str, float] | None = None) -> Index:
+    """The index of live chunks (all rows, if there is no column live)."""
+    chunks = _live(chunks)
+    found = materialise(postings(chunks, [f for f in boosts or BOOSTS if f in chunks.columns]), "postings")
+    return _index(found, chunks.select("row_id"))
+
+
+def upsert(index: Index, changed: DataFrame, gone: DataFrame, boosts: dict[str, float] | None = None) -> Index:
+    """The index once chunks (changed) are written anew and rows (gone: row_id) have left it.
+
+    A row of both is written anew, a changed chunk that is not live leaves, a
+    row that leaves without having been there does nothing. Changed chunks
+    have a row each.
+    """
+    fresh = _live(changed)
+    leaving = bounded(materialise(gone.select("row_id").union(changed.select("row_id")).distinct(), "leaving"))
+    added = postings(fresh, [f for f in boosts or BOOSTS if f in fresh.columns])
+    found = materialise(index.postings.join(leaving, "row_id", "left_anti").unionByName(added), "postings")
+    rows = materialise(index.rows.join(leaving, "row_id", "left_anti").union(fresh.select("row_id")), "rows")
+    return _index(found, rows)
+
+
+def renumber(index: Index, mapping: DataFrame) -> Index:
+    """The index under new row ids (old_id, new_id); rows outside the mapping leave it."""
+    mapping = bounded(mapping)
+    move = lambda df: df.join(mapping, F.col("row_id") == F.col("old_id")).withColumn("row_id", F.col("new_id")).select(*df.columns)
+    return _index(materialise(move(index.postings), "postings"), materialise(move(index.rows), "rows"))
 
 
 def terms_of(queries: DataFrame) -> DataFrame:

@@ -62,6 +62,13 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return marked.select("file", "content_hash", F.when(same, "skip").otherwise(F.col("action")).alias("action"))
 
 
+def changed_rows(old: DataFrame, new: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The live rows of new that old has not alike in those columns, and the row_id of old's live rows that new has not."""
+    mark = F.xxhash64(F.to_json(F.struct(*columns))).alias("_mark")
+    was, now = old.filter("live").select("row_id", mark), new.filter("live").select("*", mark)
+    return now.join(was, ["row_id", "_mark"], "left_anti").drop("_mark"), was.select("row_id").join(now.select("row_id"), "row_id", "left_anti")
+
+
 def compaction_map(chunks: DataFrame) -> DataFrame:
     """old_id and new_id of the live rows, renumbered from 0 in the old order."""
     return numbered(chunks.filter("live").select(F.col("row_id").alias("old_id")), "new_id", ["old_id"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hayrake.functions import paths, text, vectors
 from hayrake.operators import chunks as C
-from hayrake.operators import dense, fusion, labels, lexical, lookup, metrics, search, store
+from hayrake.operators import dense, evaluation, fusion, labels, lexical, lookup, metrics, search, store
 from hayrake.session import materialise, table, work_path
 from hayrake.streaming import incremental
 
@@ -95,8 +95,27 @@ def skip_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Retrieval
 
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = lexical.build(chunks(spark, sf_dir), BOOSTS)
-    return index.documents.groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.max("df").alias("most")).join(index.lengths, "field").select("field", "terms", "postings", "most", F.round("avgdl", 6).alias("avgdl"))
+    return _index_stats(lexical.build(chunks(spark, sf_dir), BOOSTS))
+
+
+def _index_stats(index: lexical.Index) -> DataFrame:
+    counted = index.documents.groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.max("df").alias("most"))
+    return counted.join(index.lengths, "field").select("field", "terms", "postings", "most", F.round("avgdl", 6).alias("avgdl"))
+
+
+def lexical_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """postings_stats of the documents' index once licence lines are reworded and repeated texts have left it."""
+    c = chunks(spark, sf_dir)
+    changed = c.filter(F.contains("body", F.lit("Licensed under"))).withColumn("body", F.replace("body", F.lit("Licensed under"), F.lit("Under")))
+    changed = changed.withColumn("signature", text.signature_line(F.col("body"))).join(hashed(spark, sf_dir).select("row_id", "live"), "row_id")
+    gone = hashed(spark, sf_dir).filter("not live").select("row_id")
+    return _index_stats(lexical.upsert(lexical.build(c, BOOSTS), changed, gone, BOOSTS))
+
+
+def lexical_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings, tokens and the rarest term's documents of each row after compaction."""
+    index = lexical.renumber(lexical.build(chunks(spark, sf_dir), BOOSTS), store.compaction_map(hashed(spark, sf_dir)))
+    return index.postings.join(index.documents, ["field", "term"]).groupBy("row_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.min("df").alias("rarest"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +222,18 @@ def baseline_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.baseline_bytes(queries, c.select("file", "body"), expected)
 
 
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of the report; an item's source is that of the document of its number."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "source")
+    asked_for = asked(spark, sf_dir).select("query_id", "query").join(own, "query_id", "left")
+    found = evaluation.evaluate(_first_hits(spark, sf_dir, *_lists(spark, sf_dir)), asked_for)
+    return found.select("part", "name", "labels_scored", "labels_discarded", *(F.round(c, 9).alias(c) for c in evaluation.METRICS))
+
+
+def median_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.medians(bytes_before_hit(spark, sf_dir), baseline_bytes(spark, sf_dir))
+
+
 def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy("event_type").agg(F.count("*").alias("n"), *(metrics.nearest_rank(p, "value").alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
@@ -359,8 +390,8 @@ def oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_search, tokenize_terms, split_identifiers, normalize_hash, preview_320, signature_line, skip_reason, postings_stats, bm25_topk, bm25_batch, dense_topk, dense_batch, dense_live_mask, rrf_fuse,
-        similar_search, ablation_metrics, mrr_topk, breakdown_by_length, bytes_before_hit, baseline_bytes, percentile_nearest_rank, get_many_ordered, symbol_lookup, containment_join, line_interval_join,
+        hybrid_search, tokenize_terms, split_identifiers, normalize_hash, preview_320, signature_line, skip_reason, postings_stats, lexical_upsert, lexical_renumber, bm25_topk, bm25_batch, dense_topk, dense_batch, dense_live_mask, rrf_fuse,
+        similar_search, ablation_metrics, mrr_topk, breakdown_by_length, bytes_before_hit, baseline_bytes, evaluation_report, median_bytes, percentile_nearest_rank, get_many_ordered, symbol_lookup, containment_join, line_interval_join,
         label_partition, dedup_insert, snapshot_diff, compaction_map, verify_integrity, store_stats, incremental_stream, mining_cascade, held_out_index, l2_normalize_pool, mock_embed, chunk_source, oversize_split,
     )
 }

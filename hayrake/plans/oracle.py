@@ -55,6 +55,7 @@ def _hits(source: str, name: str) -> str:
     return f"{name} AS (SELECT e.query_id, min(f.rank) FILTER (WHERE f.rank <= 10) AS r FROM (SELECT DISTINCT query_id FROM expected) AS e LEFT JOIN (SELECT f.query_id, f.rank FROM {source} AS f JOIN expected USING (query_id, row_id)) AS f USING (query_id) GROUP BY e.query_id)"
 
 
+_EDITED_INDEX = _INDEX.replace("FROM documents)", "FROM edited)")
 _NORMAL = r"""array_to_string(list_transform(lines, lambda x: substr(x, k + 1)), chr(10))"""
 _PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
 _BASE = "string_split(path, '/')[-1]"
@@ -143,3 +144,24 @@ UNION ALL SELECT file, name, 'impl', NULL, 4, 8, 'impl ' || name || ' {' || chr(
 UNION ALL SELECT file, name || '::size', 'function', NULL, 5, 7, 'fn size(&self) -> u64 {' || chr(10) || '        ' || n_chars || chr(10) || '    }' FROM d)
 SELECT file, symbol, symbol_type, doc_first_line, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end, sha256('1' || chr(31) || 'rust' || chr(31) || symbol || chr(31) || body) AS content_hash FROM s""",
 }
+
+_INDEX_STATS = "SELECT field, count(*) AS terms, sum(df)::BIGINT AS postings, max(df) AS most, round(any_value(avgdl), 6) AS avgdl FROM df JOIN al USING (field) GROUP BY field"
+ORACLE_SQL |= {
+    "lexical_upsert": f"""WITH {_HASHED}, edited AS (SELECT doc_id, source, lang, replace(text, 'Licensed under', 'Under') AS text FROM documents WHERE doc_id IN (SELECT row_id FROM hashed WHERE live)),
+{_EDITED_INDEX} {_INDEX_STATS}""",
+    "lexical_renumber": f"""WITH {_HASHED}, m AS (SELECT row_id AS old_id, row_number() OVER (ORDER BY row_id) - 1 AS new_id FROM hashed WHERE live), edited AS (SELECT doc_id, source, lang, text FROM documents WHERE doc_id IN (SELECT old_id FROM m)),
+{_EDITED_INDEX} SELECT new_id AS row_id, count(*) AS postings, sum(tf)::BIGINT AS tokens, min(df) AS rarest FROM tf JOIN df USING (field, term) JOIN m ON m.old_id = tf.row_id GROUP BY new_id""",
+    "evaluation_report": f"""WITH {_HYBRID}, {_EXPECTED}, {_hits("fused", "hf")}, {_hits("lx", "hl")}, {_hits("dn", "hd")}, n AS (SELECT query_id, len(list_filter(string_split_regex(query, '\\s+'), lambda x: x <> '')) AS n FROM q),
+every AS (SELECT 'ablation' AS part, 'fused' AS name, r FROM hf UNION ALL SELECT 'ablation', 'lexical_only', r FROM hl UNION ALL SELECT 'ablation', 'dense_only', r FROM hd
+ UNION ALL SELECT 'source', source, r FROM hf LEFT JOIN documents ON doc_id = query_id UNION ALL SELECT 'length', CASE WHEN n <= 4 THEN 'short' WHEN n <= 10 THEN 'medium' ELSE 'long' END, r FROM hf JOIN n USING (query_id))
+SELECT part, name, 0::BIGINT AS labels_discarded, {_SUMMARY} FROM every GROUP BY part, name""",
+    "median_bytes": f"""SELECT (SELECT quantile_disc(coalesce(s.bytes, 0), 0.5) FROM b LEFT JOIN s USING (query_id))::BIGINT AS search_median, (SELECT quantile_disc(bytes, 0.5) FROM b)::BIGINT AS baseline_median
+FROM (SELECT 1) AS one""",
+    "oversize_split": """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS k, len(string_split(text, chr(10))) AS n FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, k, s, unnest(range((length(s) + 2047) // 2048)) AS c FROM (SELECT doc_id, k, s || CASE WHEN k < n - 1 THEN chr(10) ELSE '' END AS s FROM l) AS x),
+u AS (SELECT doc_id, substr(s, c * 2048 + 1, 2048) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY k, c) AS i FROM c),
+p AS (SELECT doc_id, i, 0 AS part, length(s) AS held FROM u WHERE i = 1
+ UNION ALL SELECT u.doc_id, u.i, CASE WHEN held + length(s) > 2048 THEN part + 1 ELSE part END, CASE WHEN held + length(s) > 2048 THEN length(s) ELSE held + length(s) END FROM p JOIN u ON u.doc_id = p.doc_id AND u.i = p.i + 1)
+SELECT u.doc_id AS id, part::INT AS part, string_agg(s, '' ORDER BY u.i) AS text FROM u JOIN p ON p.doc_id = u.doc_id AND p.i = u.i GROUP BY u.doc_id, part""",
+}
+ORACLE_SQL["median_bytes"] = f"WITH s AS ({ORACLE_SQL['bytes_before_hit']}), b AS ({ORACLE_SQL['baseline_bytes']}) {ORACLE_SQL['median_bytes']}"

@@ -14,7 +14,7 @@ from hayrake import errors
 from hayrake.engine import Engine, MockEmbedder
 from hayrake.functions import paths, text, vectors
 from hayrake.operators import chunks as C
-from hayrake.operators import dense, fusion, labels, lexical, lookup, metrics, search, store
+from hayrake.operators import dense, evaluation, fusion, labels, lexical, lookup, metrics, search, store
 from hayrake.plans import catalogue, oracle
 from hayrake.session import work_path
 from hayrake.sources import files, git
@@ -169,6 +169,36 @@ def test_bm25_equals_a_plain_loop(spark):
 
 # Dense and fusion
 
+def test_a_maintained_index_equals_a_new_one(spark):
+    kind = "row_id bigint, symbol string, body string, extra int, live boolean"
+    rows = {0: ("alpha", "one two two"), 1: ("beta", None), 2: (None, ""), 3: ("alpha", "three"), 4: ("gone", "four words of it"), 5: ("alpha", "one two two")}
+    table = lambda some, live=True: spark.createDataFrame([(k, *v, 7, live) for k, v in some.items()], kind)
+    ids = lambda *some: spark.createDataFrame([(k,) for k in some], "row_id bigint")
+
+    def same(index, some):
+        want = lexical.build(table(some))
+        for name in ("postings", "documents", "lengths"):
+            a, b = getattr(index, name), getattr(want, name)
+            assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
+        assert index.n == want.n == len(some) and sorted(r.row_id for r in index.rows.collect()) == sorted(some)
+
+    first = lexical.build(table(rows))
+    same(first, rows)
+    edits = {0: ("alpha", "other words"), 1: ("beta", "now"), 9: ("new", "one three")}
+    second = lexical.upsert(first, table(edits), ids(4, 4, 77, 0))  # 0 is of both, 77 was never there
+    now = {k: v for k, v in (rows | edits).items() if k != 4}
+    same(second, now)
+    same(first, rows)
+    same(lexical.upsert(second, table({3: rows[3]}, live=False), ids()), {k: v for k, v in now.items() if k != 3})
+    same(lexical.upsert(second, table({}), ids()), now)
+    same(lexical.upsert(lexical.build(table({})), table(rows), ids(1)), rows)
+    mapping = {9: 0, 5: 1, 0: 2}
+    third = lexical.renumber(second, spark.createDataFrame(list(mapping.items()), "old_id bigint, new_id bigint"))
+    same(third, {new: now[old] for old, new in mapping.items()})
+    changed, gone = store.changed_rows(table(rows), table(now), ["symbol", "body"])
+    assert sorted(r.row_id for r in changed.collect()) == [0, 1, 9] and [r.row_id for r in gone.collect()] == [4]
+
+
 def test_dense(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0, 0.0], True), (1, [0.0, 1.0, 0.0], True), (2, [0.0, 0.0, 1.0], True), (3, [1.0, 1.0, 0.0], False), (4, [-1.0, 0.0, 0.0], True)], "row_id bigint, vector array<float>, live boolean")
     q = spark.createDataFrame([(0, [1.0, 0.5, -1.0])], "query_id bigint, query_vector array<double>")
@@ -269,6 +299,27 @@ def test_ranks_and_bytes(spark):
 
 # Maintenance
 
+def test_evaluation(spark, tmp_path):
+    hits = spark.createDataFrame([("fused", 0, 1), ("fused", 1, 4), ("fused", 2, None), ("lexical_only", 0, None), ("lexical_only", 1, 1), ("lexical_only", 2, 11), ("fused", 9, 1)], "config string, query_id bigint, first_rank int")
+    asked = spark.createDataFrame([(0, "few words", "commit_subject"), (1, "this one has as many as six", "docstring"), (2, "few", None)], "query_id bigint, query string, source string")
+    found = evaluation.evaluate(hits, asked, 5)
+    got = {(r.part, r.name): (r.labels_scored, r.top_1, r.top_3, r.top_10, r.mrr) for r in found.collect()}
+    third = 1 / 3
+    assert got == {
+        ("ablation", "fused"): (3, third, third, 2 / 3, pytest.approx(1.25 / 3)), ("ablation", "lexical_only"): (3, third, third, third, pytest.approx((1 + 1 / 11) / 3)),
+        ("source", "commit_subject"): (1, 1, 1, 1, 1), ("source", "docstring"): (1, 0, 0, 1, 0.25), ("source", None): (1, 0, 0, 0, 0),
+        ("length", "short"): (2, 0.5, 0.5, 0.5, 0.5), ("length", "medium"): (1, 0, 0, 1, 0.25),
+    }
+    evaluation.write_report(found, evaluation.RunManifest("a", "b", "mock", "mined", "now"), str(tmp_path / "report"))
+    told = json.loads("".join(p.read_text() for p in (tmp_path / "report").glob("part-*")))
+    assert told["manifest"]["fusion"] == {"lexical_depth": 50, "dense_depth": 50, "rrf_k": 60.0} and told["manifest"]["harness_version"] == 1
+    assert told["per_ablation"]["fused"]["labels_discarded"] == 5 and set(told["by_query_length"]) == {"short", "medium"} and told["by_source"]["docstring"]["mrr"] == 0.25
+    assert evaluation.evaluate(hits.limit(0), asked).count() == 0
+    read = spark.createDataFrame([(0, 10), (1, 30)], "query_id bigint, bytes bigint")
+    base = spark.createDataFrame([(0, 100), (1, 200), (2, 300)], "query_id bigint, bytes bigint")
+    assert evaluation.medians(read, base).first() == (10, 200) and evaluation.medians(read.limit(0), base.limit(0)).first() == (0, 0)
+
+
 def test_dedup_insert_and_compaction(spark):
     live = spark.createDataFrame([(5, "a"), (6, "b")], "row_id bigint, content_hash string")
     batch = spark.createDataFrame([(k, h) for k, h in enumerate(["c", "a", "d", "c"])], "ord bigint, content_hash string")
@@ -406,6 +457,8 @@ def test_engine(spark, repo, tmp_path):
     (repo / "src/d.rs").unlink()
     commit(repo, "Remove most of the code", deletes=["src/a.rs"])
     last = engine.index_repository(str(repo), full=True)
+    built = lexical.build(engine.chunks)
+    assert sorted(map(str, engine.index.postings.select(built.postings.columns).collect())) == sorted(map(str, built.postings.collect())) and engine.index.n == built.n == 1
     assert last["live"] == 1 and engine.status()["indexed_commit"] == git.head(str(repo))
     history = git.commits(spark, str(repo))
     assert labels.recent(history, 1).first().message == "Remove most of the code" and history.count() == 4
