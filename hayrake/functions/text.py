@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,9 +124,10 @@ def word_count(text: Column) -> Column:
     return F.size(blank_words(text))
 
 
-def maintenance_pattern(subject: Column) -> Column:
-    """The first pattern of the list that is a word of the subject, else null."""
-    return F.coalesce(*(F.when(subject.rlike(rf"(?i)\b{p}\b"), F.lit(p)) for p in MAINTENANCE))
+def maintenance_pattern(subject: Column, patterns: Sequence[str] = MAINTENANCE) -> Column:
+    """The first of the patterns, taken literally, that is a word of the subject, else null; one outside the fixed list is called custom."""
+    said = lambda p: F.lit(p.lower() if p.lower() in MAINTENANCE else "custom")
+    return F.coalesce(*(F.when(subject.rlike(rf"(?i)\b{re.escape(p)}\b"), said(p)) for p in patterns), F.lit(None).cast("string"))
 
 
 def length_bucket(query: Column) -> Column:

@@ -34,6 +34,9 @@ def check_model(stored: str | None, used: str | None) -> None:
 
 def scores_sql(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, row_id, score by built-in functions alone: queries (query_id, query_vector) against all vectors."""
+    n = queries.count()
+    if n > QUERY_BLOCK:
+        raise ValueError(f"{n} queries; more than {QUERY_BLOCK} go in blocks, by search")
     pairs = live(vectors).crossJoin(F.broadcast(queries))
     return pairs.select("query_id", "row_id", F.round(dot(F.col("vector"), F.col("query_vector")), DECIMALS).alias("score"))
 
@@ -77,7 +80,7 @@ def _best(vectors: DataFrame, ids: list, matrix: np.ndarray, limit: int) -> Data
 def search(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """The best live rows of each query (query_id, query_vector): query_id, row_id, score, rank."""
     if limit <= 0:
-        return top(scores_sql(vectors, queries), 0)
+        return top(scores_sql(vectors, queries.limit(0)), 0)
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     found = None
@@ -88,4 +91,4 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
             continue
         part = _best(vectors, [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64), limit)
         found = part if found is None else found.union(part)
-    return top(found if found is not None else scores_sql(vectors, queries), limit)
+    return top(found if found is not None else scores_sql(vectors, queries.limit(0)), limit)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hayrake.functions.text import commit_subject, maintenance_pattern, strip_doc_comments, word_count
-from hayrake.operators.lookup import keep_first
+from hayrake.functions.text import MAINTENANCE, commit_subject, maintenance_pattern, strip_doc_comments, word_count
+from hayrake.operators.chunks import chunk_files
+from hayrake.operators.lookup import keep_first, touched
 from hayrake.session import prepare
 
 PRELUDE = "<file_prelude>"
@@ -41,7 +42,21 @@ def changed_lines(changes: DataFrame) -> DataFrame:
     return changes.select("commit_id", "file", "old_text", "new_text").mapInPandas(run, "commit_id string, file string, line int")
 
 
-def mine_commits(commits: DataFrame, touched: DataFrame, indexed: DataFrame) -> DataFrame:
+def touched_symbols(changes: DataFrame) -> DataFrame:
+    """Distinct (commit_id, file, symbol) that changes (commit_id, file, language, old_text, new_text) touch.
+
+    Every line of a new file counts as changed. Deleted files, those without
+    a known language and those that cannot be parsed touch nothing, and
+    neither do preludes count.
+    """
+    some = changes.filter("new_text is not null and language is not null")
+    key = F.concat_ws(":", "commit_id", "file")  # commit ids hold no colon
+    found = chunk_files(some.select(key.alias("file"), "language", F.col("new_text").alias("text"))).filter("problem is null")
+    spans = found.withColumn("commit_id", F.substring_index("file", ":", 1)).withColumn("file", F.expr("substring(file, length(commit_id) + 2)"))
+    return touched(changed_lines(some), spans)
+
+
+def mine_commits(commits: DataFrame, touched: DataFrame, indexed: DataFrame, patterns: Sequence[str] = MAINTENANCE) -> DataFrame:
     """commits (commit_id, parents, message) with subject, reason (null: accepted) and expected pairs.
 
     Reasons in this order: merge, a maintenance pattern, too short a subject,
@@ -54,7 +69,7 @@ def mine_commits(commits: DataFrame, touched: DataFrame, indexed: DataFrame) ->
     out = commits.withColumn("subject", commit_subject(F.col("message"))).join(per, "commit_id", "left")
     subject = F.col("subject")
     reason = (
-        F.when(F.col("parents") > 1, "merge").when(maintenance_pattern(subject).isNotNull(), "maintenance_pattern").when(word_count(subject) < LEAST_WORDS, "subject_too_short")
+        F.when(F.col("parents") > 1, "merge").when(maintenance_pattern(subject, patterns).isNotNull(), "maintenance_pattern").when(word_count(subject) < LEAST_WORDS, "subject_too_short")
         .when(F.coalesce("n", F.lit(0)) == 0, "no_symbols_touched").when(F.col("n") > MOST_SYMBOLS, "too_many_symbols").when(~F.col("all"), "symbol_not_indexed")
     )
     return out.withColumn("reason", reason).select("commit_id", "subject", "reason", F.when(reason.isNull(), F.col("expected")).alias("expected"))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from hayrake.functions import paths
 from hayrake.session import prepare
 
+#: Entries that a handwritten set of labels has at least.
+LEAST_HANDWRITTEN = 25
+
 
 def _open(root: str):
     return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
@@ -70,6 +73,15 @@ def read_gitignore(spark: SparkSession, root: str) -> str:
         return stream.read().decode("utf-8", "replace")
 
 
+def handwritten_labels(spark: SparkSession, path: str) -> DataFrame:
+    """json_labels of the handwritten set, which has at least LEAST_HANDWRITTEN entries."""
+    found = json_labels(spark, path)
+    n = found.count()
+    if n < LEAST_HANDWRITTEN:
+        raise ValueError(f"{n} handwritten labels, fewer than {LEAST_HANDWRITTEN}")
+    return found
+
+
 def json_labels(spark: SparkSession, path: str, label_set: str = "handwritten") -> DataFrame:
     """Labels of a JSON array of {query, expected: [[file, symbol], ...]}, in the order of the array."""
     raw = spark.read.text(path, wholetext=True)

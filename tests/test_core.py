@@ -393,6 +393,23 @@ def test_mining(spark):
     assert (only.query, [tuple(x) for x in only.expected], only.provenance) == ("Add the alpha helper function", [("a", "x")], "1")
 
 
+def test_custom_patterns(spark):
+    subjects = ["WIP on it", "a c++ fix (release)", "release it", "nothing", "typo release", None]
+    assert ask(spark, lambda c: text.maintenance_pattern(c, ("release", "Typo", "a.b")), *subjects) == [None, "custom", "custom", None, "custom", None]
+    assert ask(spark, lambda c: text.maintenance_pattern(c, ("Typo", "release")), "typo release", "a.b axb") == ["typo", None]
+    assert ask(spark, lambda c: text.maintenance_pattern(c, ()), "wip") == [None] and ask(spark, text.maintenance_pattern, *subjects)[:2] == ["wip", None]
+
+
+def test_baseline_in_blocks(spark, monkeypatch):
+    asked = spark.createDataFrame([(k, w) for k, w in enumerate(["ab x", "b", "ab y", "", "zz", "c d"])], "query_id bigint, query string")
+    bodies = spark.createDataFrame([("f1", "xabx"), ("f2", "b c"), ("f3", None), ("f4", "cc")], "file string, body string")
+    expected = spark.createDataFrame([(0, "f1"), (1, "f2"), (5, "f9")], "query_id bigint, file string")
+    want = {0: 4, 1: 7, 2: 4, 3: 0, 4: 0, 5: 5}
+    for block in (10_000, 1):
+        monkeypatch.setattr(metrics, "WORD_BLOCK", block)
+        assert {r.query_id: r.bytes for r in metrics.baseline_bytes(asked, bodies, expected).collect()} == want
+
+
 def test_docstrings_and_held_out(spark):
     c = spark.createDataFrame([(0, "f", "s", "/// One.", 5, "/// One.\nfn s() {}"), (1, "f", "s", "/// Two.", 1, "b"), (2, "f", "<file_prelude>", "/// P", 1, "b"), (3, "g", "t", None, 1, "//! x\n// y")], "row_id bigint, file string, symbol string, doc_first_line string, line_start int, body string")
     assert [(r.query, r.provenance) for r in labels.mine_docstrings(c).collect()] == [("/// Two.", "f::s")]
@@ -465,11 +482,13 @@ def test_engine(spark, repo, tmp_path):
     changes = git.commit_changes(spark, str(repo), history)
     lines = labels.changed_lines(changes)
     kinds = changes.filter("new_text is not null").select("commit_id", "file", F.lit("rust").alias("language"), F.col("new_text").alias("text")).filter("file like '%.rs'")
+    whole = labels.touched_symbols(changes.withColumn("language", F.when(F.col("file").like("%.rs"), "rust")))
     per = None
     for c in history.select("commit_id").collect():
         own = C.chunk_files(kinds.filter(F.col("commit_id") == c.commit_id)).filter("problem is null").withColumn("commit_id", F.lit(c.commit_id))
         per = own if per is None else per.union(own)
     touched = lookup.touched(lines, per)
+    assert sorted(whole.collect()) == sorted(touched.collect()) and whole.count() > 3
     second_id = history.filter("message like 'Change beta%'").first().commit_id
     assert [(r.file, r.symbol) for r in touched.filter(F.col("commit_id") == second_id).collect()] == [("src/a.rs", "beta")]
     with pytest.raises(errors.RevisionMismatch):
@@ -482,6 +501,16 @@ def test_json_labels(spark, tmp_path):
     assert [(r.query, [tuple(e) for e in r.expected], r.provenance) for r in got] == [("a", [("f", "s"), ("g", "t")], "handwritten:0"), ("b", [], "handwritten:1")]
 
 
+def test_handwritten_labels(spark, tmp_path):
+    for n in (24, 25):
+        (tmp_path / "h.json").write_text(json.dumps([{"query": f"q{k}", "expected": [["f", "s"]]} for k in range(n)]))
+        if n == 25:
+            assert files.handwritten_labels(spark, str(tmp_path / "h.json")).count() == 25
+        else:
+            with pytest.raises(ValueError):
+                files.handwritten_labels(spark, str(tmp_path / "h.json"))
+
+
 def test_stream_of_changes(spark, tmp_path):
     folder = tmp_path / "feed"
     folder.mkdir()
