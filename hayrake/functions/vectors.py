@@ -53,12 +53,30 @@ def dead_fraction(live: Column, dead: Column) -> Column:
     return F.coalesce(F.try_divide(dead.cast("double"), (live + dead).cast("double")), F.lit(0.0))
 
 
+#: The state's factor, and powers of it and of its inverse modulo 2 ** 64 for as many bytes as are walked at once.
+_FACTOR, _BLOCK = 0x9E3779B97F4A7C15, 1 << 16
+
+
+def _powers(x: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(_BLOCK, x, dtype=np.uint64))
+
+
+_UP, _DOWN = _powers(_FACTOR), _powers(pow(_FACTOR, -1, 1 << 64))
+
+
 def hashed_vector(text: str, dims: int) -> np.ndarray:
-    """A deterministic stand-in for an embedding: a 64-bit state walks over the bytes and adds a number to a place."""
-    state, mask, out = 0xC0FFEE, (1 << 64) - 1, np.zeros(dims, dtype=np.float32)
-    for i, byte in enumerate(text.encode()):
-        state = (state * 0x9E3779B97F4A7C15 + byte + i) & mask
-        out[state % dims] += np.float32(state >> 32) / np.float32(0xFFFFFFFF) * np.float32(2) - np.float32(1)
+    """A deterministic stand-in for an embedding: a 64-bit state walks over the bytes and adds a number to a place.
+
+    state * factor + byte + place, for all bytes of a block at once: over the
+    power of the factor, the states are a running sum.
+    """
+    data, state, out = np.frombuffer(text.encode(), dtype=np.uint8), np.uint64(0xC0FFEE), np.zeros(dims, dtype=np.float32)
+    for start in range(0, len(data), _BLOCK):
+        steps = data[start : start + _BLOCK] + np.arange(start, min(start + _BLOCK, len(data)), dtype=np.uint64)
+        states = (np.cumsum(steps * _DOWN[: len(steps)], dtype=np.uint64) + state) * _UP[: len(steps)]
+        state = states[-1]
+        numbers = (states >> np.uint64(32)).astype(np.float32) / np.float32(0xFFFFFFFF) * np.float32(2) - np.float32(1)
+        np.add.at(out, (states % np.uint64(dims)).astype(np.intp), numbers)  # one after the other, so sums round as in a loop
     if not out.any():
         out[0] = 1
     return (out / np.sqrt((out.astype(np.float64) ** 2).sum())).astype(np.float16).astype(np.float32)

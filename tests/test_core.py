@@ -3,6 +3,7 @@
 import json
 import math
 import subprocess
+import time
 
 import duckdb
 import numpy as np
@@ -167,6 +168,24 @@ def test_bm25_equals_a_plain_loop(spark):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_hashed_vectors_equal_a_plain_loop():
+    def plain(data, dims):
+        state, mask, out = 0xC0FFEE, (1 << 64) - 1, np.zeros(dims, dtype=np.float32)
+        for i, byte in enumerate(data.encode()):
+            state = (state * 0x9E3779B97F4A7C15 + byte + i) & mask
+            out[state % dims] += np.float32(state >> 32) / np.float32(0xFFFFFFFF) * np.float32(2) - np.float32(1)
+        if not out.any():
+            out[0] = 1
+        return (out / np.sqrt((out.astype(np.float64) ** 2).sum())).astype(np.float16).astype(np.float32)
+
+    long = "é plain words, " * 9000  # more than one block
+    for data, dims in (("", 16), ("a", 16), ("é\x00\n", 7), (long, 16), (long[:65536], 3), (long[:61166], 1)):
+        assert vectors.hashed_vector(data, dims).tobytes() == plain(data, dims).tobytes()
+    began = time.process_time()
+    vectors.hashed_vector(long * 20, 16)  # 2.9 MB: a loop over bytes takes seconds
+    assert time.process_time() - began < 1.5
+
+
 # Dense and fusion
 
 def test_a_maintained_index_equals_a_new_one(spark):
