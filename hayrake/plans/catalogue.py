@@ -59,8 +59,8 @@ def _ranked(df: DataFrame, decimals: int) -> DataFrame:
 # Text
 
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = lexical.term_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return counted.groupBy("doc_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("terms"))
+    counted = lexical.records(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"), ["text"])
+    return counted.select(F.col("row_id").alias("doc_id"), F.inline("fields")).select("doc_id", F.col("dl").alias("tokens"), F.size("terms").cast("bigint").alias("terms"))
 
 
 def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:

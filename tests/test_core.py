@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from hayrake import errors
 from hayrake.engine import Engine, MockEmbedder
-from hayrake.functions import paths, text, vectors
+from hayrake.functions import paths, terms, text, vectors
 from hayrake.operators import chunks as C
 from hayrake.operators import dense, evaluation, fusion, labels, lexical, lookup, metrics, search, store
 from hayrake.plans import catalogue, oracle
@@ -168,6 +168,39 @@ def test_bm25_equals_a_plain_loop(spark):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_rows_are_counted_and_scored_where_they_are_read(spark):
+    kinds = "row_id bigint, symbol string, body string"
+    rng = np.random.default_rng(3)
+    words = ["plain", "Word,", "fooBar", "foo_bar", "XMLHttp", "--", "é", "aéB", "(x.y)", "don't", "A1b", "HTTPServer2Go", "\x01a\x02", "_", "a\xa0b", "3dModel", "ABc", "\u2003"]
+    rows = [(k, None if k % 7 == 0 else f"s{k % 3}", " \t\n".join(rng.choice(words, rng.integers(0, 9)))) for k in range(90)]
+    rows += [(5, "s5", "fooBar twice"), (5, None, "word"), (91, "s", None), (None, "none", "plain word"), (None, None, "plain")]
+    index = lexical.build(spark.createDataFrame(rows, kinds).repartition(4), {"symbol": 4.0, "body": 1.0})
+    pairs = spark.createDataFrame([(i, f, t) for i, s, b in rows for f, t in (("symbol", s), ("body", b)) if t is not None], "row_id bigint, field string, text string")
+    want = pairs.select("row_id", "field", F.explode(text.code_tokens(F.col("text"))).alias("term")).groupBy("field", "term", "row_id").agg(F.count("*").alias("tf"))
+    assert sorted(map(str, index.postings.select("field", "term", "row_id", "tf").collect())) == sorted(map(str, want.collect()))
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([(k, " ".join(rng.choice(words, 4))) for k in range(12)] + [(None, "word")], "query_id bigint, query string")
+    plain = lexical.Index(index.postings, index.documents, index.lengths, index.n)  # without records: by the shuffle
+    by_key = lambda df: {(r.query_id, r.row_id): r.score for r in df.collect()}
+    for boosts in ({"symbol": 4.0, "body": 1.0}, {"symbol": 2.0}):
+        some = lexical.scores(index, asked, boosts)
+        assert "Exchange" not in some._jdf.queryExecution().executedPlan().toString()
+        assert by_key(some) == pytest.approx(by_key(lexical.scores(plain, asked, boosts)), abs=2e-8)
+        for limit in (1, 3, 200):
+            tell = lambda x: sorted((str(r.query_id), r["rank"], str(r.row_id), round(r.score, 6)) for r in lexical.search(x, asked, limit, boosts).collect())  # noqa: B023, E731
+            assert tell(index) == tell(plain)
+    held = terms.HELD, terms.CELLS
+    try:  # many small prunings
+        terms.HELD, terms.CELLS = 0, 40
+        records = [b for b in index.records.filter("row_id is not null").toArrow().to_batches(max_chunksize=5)]
+        known = lexical._known(index, asked.filter("query_id is not null"), None).toArrow()
+        got = [(r["query_id"], r["row_id"]) for b in terms.scorer(known, 1.2, 0.75, 8, 2)(iter(records)) for r in b.to_pylist()]
+    finally:
+        terms.HELD, terms.CELLS = held
+    assert sorted(got) == sorted((r.query_id, r.row_id) for r in lexical.search(index, asked.filter("query_id is not null"), 2).filter("row_id is not null").collect())
+    assert terms.rounded(np.array([0.125, 1.000000005, 2.5e-9, 7.0]), 2).tolist() == [0.13, 1.0, 0.0, 7.0]
+
+
 def test_hashed_vectors_equal_a_plain_loop():
     def plain(data, dims):
         state, mask, out = 0xC0FFEE, (1 << 64) - 1, np.zeros(dims, dtype=np.float32)
