@@ -114,8 +114,7 @@ def lexical_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings, tokens and the rarest term's documents of each row after compaction."""
-    index = lexical.renumber(lexical.build(chunks(spark, sf_dir), BOOSTS), store.compaction_map(hashed(spark, sf_dir)))
-    return index.postings.join(index.documents, ["field", "term"]).groupBy("row_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.min("df").alias("rarest"))
+    return lexical.row_stats(lexical.renumber(lexical.build(chunks(spark, sf_dir), BOOSTS), store.compaction_map(hashed(spark, sf_dir))))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

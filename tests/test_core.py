@@ -201,6 +201,15 @@ def test_rows_are_counted_and_scored_where_they_are_read(spark):
     assert terms.rounded(np.array([0.125, 1.000000005, 2.5e-9, 7.0]), 2).tolist() == [0.13, 1.0, 0.0, 7.0]
 
 
+def test_row_stats_whatever_is_broadcast(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{j}" for j in range(k % 11 + 1)) + f" own{k // 2} own{k // 2}") for k in range(50)]
+    index = lexical.build(spark.createDataFrame(rows, "row_id bigint, body string"), {"body": 1.0})
+    want = sorted((k, k % 11 + 2, k % 11 + 3, 2) for k in range(50))
+    for most in (10**6, 8, 0):
+        monkeypatch.setattr(lexical, "BROADCAST_ROWS", most)
+        assert sorted(map(tuple, lexical.row_stats(index).collect())) == want
+
+
 def test_hashed_vectors_equal_a_plain_loop():
     def plain(data, dims):
         state, mask, out = 0xC0FFEE, (1 << 64) - 1, np.zeros(dims, dtype=np.float32)
