@@ -165,22 +165,22 @@ def similar_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "file", F.round("dense_score", 6).alias("dense_score"), F.round("fused_score", 9).alias("fused_score"))
 
 
-def _same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected (query_id, row_id): the vectors that have the label of the query's own."""
-    v = vector_table(spark, sf_dir)
-    own = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(v.select(F.col("row_id").alias("query_id"), "label"), "query_id")
-    return own.join(v.select("row_id", "label"), "label").select("query_id", "row_id")
-
-
 def _first_hits(spark: SparkSession, sf_dir: str, by_terms: DataFrame, by_vector: DataFrame) -> DataFrame:
-    """config, query_id and first_rank of the three configurations, from one pair of candidate lists."""
-    expected = materialise(_same_label(spark, sf_dir), "expected")
+    """config, query_id and first_rank of the three configurations, from one pair of candidate lists.
+
+    Expected are the vectors that have the label of the query's own. Labels
+    are looked up for the best rows alone: items are not paired with vectors.
+    """
+    labels = vector_table(spark, sf_dir).select("row_id", "label").filter("label is not null")
+    items = lexical.bounded(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).distinct())
+    own = materialise(labels.select(F.col("row_id").alias("query_id"), F.col("label").alias("own")).join(items, "query_id"), "own")
     out = None
     for name, config in fusion.ABLATIONS.items():
         best = fusion.fuse(by_terms, by_vector, config).filter("rank <= 10").select("query_id", "row_id", "rank", F.lit(name).alias("config"))
         out = best if out is None else out.union(best)
-    hits = out.join(expected, ["query_id", "row_id"], "left_semi").groupBy("config", "query_id").agg(F.min("rank").alias("first_rank"))
-    every = expected.select("query_id").distinct().withColumn("config", F.explode(F.array(*map(F.lit, fusion.ABLATIONS))))
+    best = materialise(out.join(own, "query_id"), "best")
+    hits = labels.join(lexical.bounded(best), "row_id").filter("label = own").groupBy("config", "query_id").agg(F.min("rank").alias("first_rank"))
+    every = own.select("query_id").distinct().withColumn("config", F.explode(F.array(*map(F.lit, fusion.ABLATIONS))))
     return every.join(hits, ["config", "query_id"], "left")
 
 

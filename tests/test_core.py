@@ -385,6 +385,36 @@ def test_ranks_and_bytes(spark):
 
 # Maintenance
 
+def test_first_hits_without_pairs_of_items_and_vectors(spark, tmp_path, monkeypatch):
+    items, n = list(range(0, 120, 3)) + [0, 900], 400
+    label = lambda k: None if k % 10 == 6 else k % 7
+    spark.createDataFrame([(k, f"item {k}") for k in items], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, [float(k)], label(k)) for k in range(n)], "vec_id bigint, embedding array<float>, label bigint").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rng = np.random.default_rng(2)
+    lists = [[(q, int(r), 1.0, k + 1) for q in sorted(set(items)) for k, r in enumerate(rng.choice(n + 9, 12, replace=False))] for _ in range(2)]
+    frames = [spark.createDataFrame(rows, "query_id bigint, row_id bigint, score double, rank int") for rows in lists]
+    written, keep = [], catalogue.materialise
+
+    def counted(df, name):
+        found = keep(df, name)
+        written.append(found.count())
+        return found
+
+    monkeypatch.setattr(catalogue, "materialise", counted)
+    got = {(r.config, r.query_id): r.first_rank for r in catalogue._first_hits(spark, str(tmp_path), *frames).collect()}
+    known = lambda k: k < n and label(k) is not None
+    want = {}
+    for config, some in (("fused", lists), ("lexical_only", lists[:1]), ("dense_only", lists[1:])):
+        for q in set(filter(known, items)):
+            score = {}
+            for _, r, _, k in (x for rows in some for x in rows if x[0] == q):
+                score[r] = score.get(r, 0) + 1 / (60 + k)
+            order = sorted(score, key=lambda r: (-round(score[r], 12), r))[:10]
+            want[config, q] = next((k + 1 for k, r in enumerate(order) if known(r) and label(r) == label(q)), None)
+    assert got == want and {None, 1, 2} <= set(want.values())
+    assert max(written) <= 30 * len(items)  # best rows, not vectors of the item's label (about 50 an item)
+
+
 def test_evaluation(spark, tmp_path):
     hits = spark.createDataFrame([("fused", 0, 1), ("fused", 1, 4), ("fused", 2, None), ("lexical_only", 0, None), ("lexical_only", 1, 1), ("lexical_only", 2, 11), ("fused", 9, 1)], "config string, query_id bigint, first_rank int")
     asked = spark.createDataFrame([(0, "few words", "commit_subject"), (1, "this one has as many as six", "docstring"), (2, "few", None)], "query_id bigint, query string, source string")
