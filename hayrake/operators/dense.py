@@ -1,8 +1,8 @@
 """Exact dense retrieval: every live vector is scored.
 
 Queries are few and go to the vectors: blocks of at most QUERY_BLOCK of them
-are broadcast, and each Arrow batch of vectors is one matrix product that
-keeps the best of the batch for each query. Only those reach the shuffle.
+are broadcast, and each Arrow batch of vectors is one matrix product. A task
+keeps its best rows of each query; only those leave it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hayrake.errors import DimensionMismatch, ModelMismatch, NonFiniteScore
 from hayrake.functions.vectors import dot
-from hayrake.operators.lexical import top
+from hayrake.operators.lexical import BEST_ROWS, top
 from hayrake.session import prepare
 
 QUERY_BLOCK = 2000
@@ -59,6 +59,14 @@ def _best(vectors: DataFrame, ids: list, matrix: np.ndarray, limit: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
+        nothing = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        held, best = nothing
+
+        def told() -> Iterator[pa.RecordBatch]:
+            n = held.shape[1]
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)], pa.int64()), pa.array(held.reshape(-1), pa.int64()), pa.array(best.reshape(-1))], ["query_id", "row_id", "score"])
+
         for batch in batches:
             if not len(batch):
                 continue
@@ -67,12 +75,13 @@ def _best(vectors: DataFrame, ids: list, matrix: np.ndarray, limit: int) -> Data
             got = np.round(np.einsum("vd,qd->qv", _matrix(batch.column(1), matrix.shape[1]), matrix, optimize=len(ids) * len(rows) > 200_000), DECIMALS)
             if not np.isfinite(got).all():
                 raise NonFiniteScore(f"row {rows[int(np.argwhere(~np.isfinite(got))[0][1])]} has a score that is not finite")
-            keep = np.lexsort((np.broadcast_to(rows, got.shape), -got), axis=1)[:, :limit]
-            n = keep.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i in ids for _ in range(n)], pa.int64()), pa.array(rows[keep].reshape(-1), pa.int64()), pa.array(np.take_along_axis(got, keep, axis=1).reshape(-1))],
-                ["query_id", "row_id", "score"],
-            )
+            held, best = np.concatenate([held, np.broadcast_to(rows, got.shape)], axis=1), np.concatenate([best, got], axis=1)
+            keep = np.lexsort((held, -best), axis=1)[:, :limit]
+            held, best = np.take_along_axis(held, keep, axis=1), np.take_along_axis(best, keep, axis=1)
+            if len(ids) * limit > BEST_ROWS:  # too many to hold: the best of each batch
+                yield from told()
+                held, best = nothing
+        yield from told()
 
     return live(vectors).select("row_id", "vector").mapInArrow(run, "query_id bigint, row_id bigint, score double")
 

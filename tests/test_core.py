@@ -311,6 +311,20 @@ def test_dense_equals_a_plain_loop(spark):
     assert got == {k: sorted((i for i in range(1000) if i % 19), key=lambda i: (-scores[k, i], i))[:25] for k in range(50)}
 
 
+def test_only_the_best_vectors_of_a_task_leave_it(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    matrix, asked = rng.integers(-3, 4, (4500, 3)).astype(float), rng.integers(-3, 4, (3, 3)).astype(float)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(matrix)], "row_id bigint, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(asked)], "query_id bigint, query_vector array<double>")
+    for limit in (4, 5000):
+        want = [(q, k, r, (matrix @ asked[q])[r]) for q in range(3) for k, r in enumerate(np.lexsort((np.arange(4500), -(matrix @ asked[q])))[:limit], 1)]
+        for most in (10**6, 2):
+            monkeypatch.setattr(dense, "BEST_ROWS", most)
+            assert sorted((r.query_id, r["rank"], r.row_id, r.score) for r in dense.search(table, queries, limit).collect()) == want
+    monkeypatch.setattr(dense, "BEST_ROWS", 10**6)
+    assert dense._best(table, [0, 1, 2], asked, 4).count() == 12  # there are several Arrow batches
+
+
 def ranked(spark, *rows):
     return spark.createDataFrame([(0, r, 1.0 / (k + 1), k + 1) for k, r in enumerate(rows)], "query_id bigint, row_id bigint, score double, rank int")
 
